@@ -25,13 +25,13 @@ def table(spark, name):
     return spark.read.parquet(f"{SMALL}/{name}.parquet")
 
 
-def sets(text):
+def sets(text, n=2):
     w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in (text or "").encode().decode().replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
-    return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} or ({tuple(w)} if w else set())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def components(texts):
-    s, root = [sets(t) for t in texts], list(range(len(texts)))
+def components(texts, n=2):
+    s, root = [sets(t, n) for t in texts], list(range(len(texts)))
     def find(i):
         while root[i] != i:
             i = root[i]
@@ -56,15 +56,35 @@ def near_texts():
     return out
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates(spark, words):
     texts = near_texts()
-    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(documents(spark, texts)).collect()}
-    sizes, comp = components(texts)
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(documents(spark, texts), words=words).collect()}
+    sizes, comp = components(texts, words)
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Texts of one template share most buckets; links between others than a bucket's first centre must be found."""
+    monkeypatch.setattr(near_duplicates, "CENTRES", 2)
+    rng = np.random.default_rng(9)
+    shared = [f"t{x}" for x in range(120)]
+    texts = []
+    for k in range(14):
+        own = [f"o{k}x{x}" for x in range(60)]
+        for _ in range(3):
+            copy = shared + own
+            for i in rng.integers(0, len(copy), 4 if k % 2 else 9):
+                copy[i] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(documents(spark, texts), words=2).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts, 2)[1]
+
+
 def test_signatures_fill_every_bin():
     sig = near_duplicates.signatures(np.array([0, 2]), np.array([5, 1 << 63], np.uint64), 3)
     assert (sig[0] == 5).all() and (sig[2] == 1 << 63).all() and (sig[1] == np.iinfo(np.uint64).max).all()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -15,6 +15,7 @@ from .components import connected_components
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
+CENTRES = 8
 _U = np.uint64
 
 
@@ -59,46 +60,49 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = tokens.plain(batch.column(1))
-        for at, to in tokens.runs(column):
-            n = to - at
-            row, h = tokens.pair_sets(tokens.words(column, at, to, lower=True))
-            count = np.bincount(row, minlength=n)
-            digests = []
-            for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
-                total = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(tokens.mix(h ^ _U(salt)), out=total[1:])
-                ends = np.cumsum(count)
-                digests.append(tokens.mix(total[ends] - total[ends - count]))
-            keys = band_keys(signatures(row, h, n)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(count, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), lists], schema=_SKETCH)
-
-
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sketch(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = tokens.plain(batch.column(1))
+            for at, to in tokens.runs(column):
+                n = to - at
+                row, h = tokens.shingle_sets(tokens.words(column, at, to, lower=True), words)
+                count = np.bincount(row, minlength=n)
+                digests = []
+                for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
+                    total = np.zeros(len(h) + 1, np.uint64)
+                    np.cumsum(tokens.mix(h ^ _U(salt)), out=total[1:])
+                    ends = np.cumsum(count)
+                    digests.append(tokens.mix(total[ends] - total[ends - count]))
+                keys = band_keys(signatures(row, h, n)).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(count, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), lists], schema=_SKETCH)
+
+    return run
+
+
+def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the shingle set and the band keys of every document."""
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_arrow(columns, _sketch, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return in_arrow(columns, _sketch(words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
+def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for at, to in tokens.runs(column):
-        row, h = tokens.pair_sets(tokens.words(column, at, to, lower=True))
+        row, h = tokens.shingle_sets(tokens.words(column, at, to, lower=True), words)
         out += np.split(h, np.cumsum(np.bincount(row, minlength=to - at))[:-1])
     return out
 
 
-def _verifier(threshold: int):
+def _verifier(threshold: int, words: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             text = pa.chunked_array([batch.column("ta"), batch.column("tb")]).dictionary_encode()
             text = text.unify_dictionaries().combine_chunks()
-            sets = _sets(tokens.plain(text.dictionary))
+            sets = _sets(tokens.plain(text.dictionary), words)
             code = text.indices.to_numpy(zero_copy_only=False)
             n = batch.num_rows
             keep = np.zeros(n, bool)
@@ -115,59 +119,85 @@ def _verifier(threshold: int):
     return verify
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
     """Those (a, b) of ``pairs`` whose full shingle sets reach the threshold in per cent. Texts are dealt by id once
     and that exchange serves both joins; a centre with many partners is a skewed join, which Spark splits."""
     at_a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     at_b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "ta", "tb")
-    return in_arrow(both, _verifier(threshold), "a long, b long")
+    return in_arrow(both, _verifier(threshold, words), "a long, b long")
+
 
+def _stars(buckets: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest) of open buckets (key, rep, n, at). The ``k`` rarest components of each bucket are its centres: their
+    classes are paired with those of all its other components, and leave it."""
+    rarest = Window.partitionBy("key").orderBy("m", "at")
+    centres = buckets.groupBy("key", "at").agg(F.count("*").alias("m")).withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= k)
+    centres = materialize(centres.select("key", "at"), "centres")
+    hub = buckets.join(centres, ["key", "at"]).select("key", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("at").alias("c_at"))
+    met = buckets.join(hub, "key").where("at != c_at")
+    return met.select("rep", "c", "n", "cn"), buckets.join(centres, ["key", "at"], "left_anti")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id and kept of every row of ``docs``.
 
-    Documents whose sets of 2-word shingles are equal form a class, named after its smallest id; classes are compared
-    by their smallest document. A class is put in one bucket for each of 42 bands of 6 minima, so that a pair at the
-    threshold of 0.8 meets in none with probability 3e-6. Each bucket proposes star-shaped edges to its smallest class;
-    those that full sets confirm give first components. In buckets that then still hold several components, classes
-    apart from the bucket's centre are also compared with two more centres, drawn for each bucket by its key, so each
-    has up to 84 further partners. Every edge is confirmed on full sets; pairs number at most three for each class and
-    band, however large a bucket is.
+    Documents whose sets of ``words``-word shingles are equal form a class, named after its smallest id; classes are
+    compared by their smallest document. A class is put in one bucket for each of 42 bands of 6 minima, so that a pair
+    at the threshold of 0.8 meets in none with probability 3e-6. Each bucket proposes star-shaped edges to its smallest
+    class; those that full sets confirm give first components. The centre leaves its bucket, and buckets that still hold
+    several components go through more rounds, until none does: the rarest components of a bucket, 8, 64 and so on,
+    become its centres, are compared with the classes of its other components and leave it. So any two classes of a
+    bucket are compared or already in one component, and no link is lost; pairs inside a component are never formed.
+    Sizes that can't reach the threshold aren't compared; every edge is confirmed on full sets.
 
     Null, empty and blank texts have no shingles, are linked with nothing and keep their own id. Rows with the same id
     and text count as one document; rows that repeat an id with another text share one component_id. A null id is
     returned with null component_id and kept true. An empty table gives an empty one. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sketch = materialize(sketches(docs, id_col, text_col), "sketch")
+    sketch = materialize(sketches(docs, words, id_col, text_col), "sketch")
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # written first, so that the join below meets two plain exchanges, of which Spark can split a hot digest's rows
+    classes = materialize(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "digests")
     named = materialize(sketch.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "classes")
     heads = filled.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = heads.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    other = F.shiftrightunsigned("key", 21)
-    star = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("c0"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("v1"), F.min(F.col("rep").bitwiseXOR(other)).alias("v2"))
-    star = star.where("n > 1").select("key", "c0", F.col("v1").bitwiseXOR(F.col("key")).alias("c1"), F.col("v2").bitwiseXOR(other).alias("c2"))
-    met = materialize(rows.join(star, "key").select("rep", "c0", "c1", "c2"), "buckets")
-    first = met.where("rep != c0").select(F.col("rep").alias("a"), F.col("c0").alias("b")).distinct()
-    links = materialize(confirm(first, texts, threshold), "links")
-    comp = materialize(connected_components(links), "components-1")
-    name_of = lambda col: comp.select(F.col("id").alias(col), F.col("component").alias(f"{col}_in"))
-    apart = met.join(name_of("rep"), "rep", "left").join(name_of("c0"), "c0", "left")
-    apart = apart.where(F.coalesce("rep_in", "rep") != F.coalesce("c0_in", "c0"))
-    more = apart.select("rep", F.col("rep_in"), F.explode(F.array("c1", "c2")).alias("b")).where("rep != b").distinct()
-    more = more.join(name_of("b"), "b", "left").where(F.coalesce("rep_in", "rep") != F.coalesce("b_in", "b"))
-    more = more.select(F.col("rep").alias("a"), "b")
-    links2 = confirm(more.subtract(first), texts, threshold)
-    joined = links2.join(name_of("a"), "a", "left").join(name_of("b"), "b", "left")
-    bridge = materialize(joined.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")), "bridges")
-    if bridge.isEmpty():
-        whole = comp.select(F.col("id").alias("rep"), "component")
-    else:
-        top = connected_components(bridge)
-        base = comp.unionByName(bridge.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
-        whole = base.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("id").alias("rep"), F.coalesce("top", "component").alias("component"))
+    rows = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    star = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("c")).where("size > 1")
+    star = materialize(star.select("key", "size", F.col("c.rep").alias("c"), F.col("c.n").alias("cn")), "stars")
+    met = materialize(rows.join(star, "key").where("rep != c"), "buckets")
+    tested: list[DataFrame] = []
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (rep, c, n, cn) that weren't tested before and reach the threshold."""
+        ordered = pairs.where(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn"))
+        ordered = ordered.select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b")).distinct()
+        for before in tested:
+            ordered = ordered.join(before, ["a", "b"], "left_anti")
+        tested.append(materialize(ordered, "pairs"))
+        return materialize(confirm(tested[-1], texts, threshold, words), "links")
+
+    comp = materialize(connected_components(linked(met)), "components")
+    left = met.where("size > 2").select("key", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    left = left.select("key", "rep", "n", F.coalesce("component", "rep").alias("at"))
+    k = CENTRES
+    while True:
+        split = left.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
+        left = materialize(left.join(split, "key", "left_semi"), "open-buckets")
+        if left.isEmpty():
+            break
+        pairs, left = _stars(left, k)
+        links, k = linked(pairs), CENTRES * k
+        if links.isEmpty():
+            continue
+        names = comp.select(F.col("id").alias("a"), F.col("component").alias("a_in")), comp.select(F.col("id").alias("b"), F.col("component").alias("b_in"))
+        bridges = links.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        top = materialize(connected_components(bridges).select(F.col("id").alias("at"), F.col("component").alias("top")), "tops")
+        fresh = top.join(comp.select(F.col("component").alias("at")).distinct(), "at", "left_anti").select(F.col("at").alias("id"), F.col("top").alias("component"))
+        moved = comp.withColumnRenamed("component", "at").join(top, "at", "left").select("id", F.coalesce("top", "at").alias("component"))
+        comp = materialize(moved.unionByName(fresh), "components")
+        left = left.join(top, "at", "left").select("key", "rep", "n", F.coalesce("top", "at").alias("at"))
+    whole = comp.withColumnRenamed("id", "rep")
     out = named.join(whole, "rep", "left").select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     repeated = out.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("times")).where("times > 1").select("doc_id", "low")
     out = out.join(repeated, "doc_id", "left").withColumn("component_id", F.coalesce("low", "component_id")).drop("low")

@@ -59,7 +59,7 @@ def statistics(column: pa.Array, at: int, to: int) -> np.ndarray:
         return np.bincount(row[new], minlength=rows), most
 
     kinds_of_words, most = distinct(w.row, w.hash)
-    pair_row, _ = tokens.pair_sets(w)
+    pair_row, _ = tokens.shingle_sets(w, 2)
     pairs = np.bincount(pair_row, minlength=rows)
     lines = kinds[:, 6] + 1
     columns = [

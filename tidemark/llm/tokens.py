@@ -126,19 +126,25 @@ def windows(hashes: np.ndarray, n: int, base: int = 0xC2B2AE3D27D4EB4F | 1) -> n
     return mix((total[n:] - total[:m]) * powers(unbase, m))
 
 
-def pair_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 2-word shingles as (row, hash), sorted by both. A row of one word has that word as its only shingle."""
-    rows = len(w.first) - 1
+def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``n``-word shingles as (row, hash), sorted by both. A row of fewer words has all of them as its only
+    shingle, a row without words none."""
+    rows, m = len(w.first) - 1, max(len(w.hash) - n + 1, 0)
     count = np.diff(w.first)
-    h = mix(w.hash[:-1] * _U(0x9FB21C651E98DF25) + w.hash[1:]) if len(w.hash) > 1 else np.zeros(0, np.uint64)
-    keep = np.ones(len(h), bool)
-    last = w.first[1:][count > 0] - 1  # the pair that starts at a row's last word reaches into the next row
-    keep[last[last < len(h)]] = False
-    row, h = w.row[: len(h)][keep], h[keep]
-    single = np.flatnonzero(count == 1)
-    if len(single):
-        row = np.concatenate([row, single])
-        h = np.concatenate([h, mix(w.hash[w.first[single]] + _U(1))])
+    follow = lambda h, x: mix(h * _U(0x9FB21C651E98DF25) + x)
+    h = w.hash[:m]
+    for k in range(1, n):
+        h = follow(h, w.hash[k : k + m])
+    inside = w.first[1:][w.row[:m]] - np.arange(m) >= n  # others reach into the next row
+    row, h = [w.row[:m][inside]], [h[inside]]
+    for size in range(1, n):
+        short = np.flatnonzero(count == size)
+        x = w.hash[w.first[short]]
+        for k in range(1, size):
+            x = follow(x, w.hash[w.first[short] + k])
+        row.append(short)
+        h.append(mix(x + _U(size)))
+    row, h = np.concatenate(row), np.concatenate(h)
     order = np.lexsort((h, row)) if rows > 1 else np.argsort(h, kind="stable")
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)

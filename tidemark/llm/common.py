@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,6 +44,7 @@ def scratch(spark: SparkSession, name: str) -> str:
             remove(spark, path)
 
     atexit.register(clean)
+    _written.append(path)
     return path
 
 
@@ -54,6 +57,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` what ``make`` returns, then remove the folders that ``make`` wrote on the way: the result's files
+    need none of them. Nothing else that ``make`` returned or kept may be used afterwards."""
+    start = len(_written)
+    made = make()
+    before = _written[start:]
+    out = materialize(made, name)
+    for path in before:
+        remove(out.sparkSession, path)
+        _written.remove(path)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

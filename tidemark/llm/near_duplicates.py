@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_arrow, materialize
+from .common import in_arrow, materialize, settled
 from .components import connected_components
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
 CENTRES = 8
+WIDTH = 2 * BINS // 64
 _U = np.uint64
 
 
@@ -57,7 +58,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return tokens.mix((tokens.mix(cut ^ _SALT) * (_SALT | _U(1))).sum(axis=2, dtype=np.uint64))
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def marks(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum, as two planes of ``BINS`` bits in longs: where minima differ, 3 in 4 marks do."""
+    low = tokens.mix(sig)
+    planes = [np.packbits((low >> _U(k)).astype(np.uint8) & 1, axis=1).view(np.int64) for k in (0, 1)]
+    return np.concatenate(planes, axis=1)
+
+
+def _alike(a: str, b: str, n: str, m: str, threshold: int) -> Column:
+    """Whether so many marks agree that the sets may reach the threshold. The share that differs has a
+    mean of 3/4 of the distance; six standard deviations more are allowed, so that a pair at the threshold is missed once
+    in 10 ** 8 or so. Of a small set only some bins are filled; those that borrow add up to a quarter to the variance
+    that the filled ones give."""
+    p = 0.75 * (1 - threshold / 100)
+    filled = BINS * (1 - F.exp(-F.least(n, m) / BINS))
+    most = BINS * (p + 6 * F.sqrt(1.25 * p * (1 - p) / filled))
+    at = lambda c, i: F.col(c)[i]
+    half = WIDTH // 2
+    differ = sum((F.bit_count(at(a, i).bitwiseXOR(at(b, i)).bitwiseOR(at(a, i + half).bitwiseXOR(at(b, i + half)))) for i in range(half)), F.lit(0))
+    return differ <= most
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
 
 def _sketch(words: int):
@@ -74,17 +96,19 @@ def _sketch(words: int):
                     np.cumsum(tokens.mix(h ^ _U(salt)), out=total[1:])
                     ends = np.cumsum(count)
                     digests.append(tokens.mix(total[ends] - total[ends - count]))
-                keys = band_keys(signatures(row, h, n)).view(np.int64)
+                sig = signatures(row, h, n)
+                keys = band_keys(sig).view(np.int64)
+                planes = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * WIDTH, WIDTH), pa.int32()), pa.array(marks(sig).ravel()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(count, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), lists], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(count, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), lists, planes], schema=_SKETCH)
 
     return run
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set and the band keys of every document."""
+    """doc_id, n_shingles, a 128-bit digest of the shingle set, the band keys and the marks of every document."""
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_arrow(columns, _sketch(words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return in_arrow(columns, _sketch(words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, marks array<long>")
 
 
 def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -128,14 +152,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> D
     return in_arrow(both, _verifier(threshold, words), "a long, b long")
 
 
-def _stars(buckets: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rest) of open buckets (key, rep, n, at). The ``k`` rarest components of each bucket are its centres: their
+def _stars(buckets: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest) of open buckets (key, rep, n, marks, at). The ``k`` rarest components of each bucket are its centres: their
     classes are paired with those of all its other components, and leave it."""
     rarest = Window.partitionBy("key").orderBy("m", "at")
     centres = buckets.groupBy("key", "at").agg(F.count("*").alias("m")).withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= k)
     centres = materialize(centres.select("key", "at"), "centres")
-    hub = buckets.join(centres, ["key", "at"]).select("key", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("at").alias("c_at"))
-    met = buckets.join(hub, "key").where("at != c_at")
+    hub = buckets.join(centres, ["key", "at"]).select("key", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("marks").alias("c_marks"), F.col("at").alias("c_at"))
+    met = buckets.join(hub, "key").where((F.col("at") != F.col("c_at")) & (100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn")) & _alike("marks", "c_marks", "n", "cn", threshold))
     return met.select("rep", "c", "n", "cn"), buckets.join(centres, ["key", "at"], "left_anti")
 
 
@@ -149,12 +173,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several components go through more rounds, until none does: the rarest components of a bucket, 8, 64 and so on,
     become its centres, are compared with the classes of its other components and leave it. So any two classes of a
     bucket are compared or already in one component, and no link is lost; pairs inside a component are never formed.
-    Sizes that can't reach the threshold aren't compared; every edge is confirmed on full sets.
+    Sizes that can't reach the threshold aren't compared, nor, in those rounds, are sets whose marks are too far
+    apart (:func:`_alike`); every edge is confirmed on full sets.
 
     Null, empty and blank texts have no shingles, are linked with nothing and keep their own id. Rows with the same id
     and text count as one document; rows that repeat an id with another text share one component_id. A null id is
     returned with null component_id and kept true. An empty table gives an empty one. Other columns are ignored.
     """
+    return settled(lambda: _near_duplicates(docs, id_col, text_col, threshold, words), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: int, words: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     sketch = materialize(sketches(docs, words, id_col, text_col), "sketch")
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -168,26 +197,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = materialize(rows.join(star, "key").where("rep != c"), "buckets")
     tested: list[DataFrame] = []
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, source: DataFrame) -> DataFrame:
         """Those of the pairs (rep, c, n, cn) that weren't tested before and reach the threshold."""
         ordered = pairs.where(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn"))
         ordered = ordered.select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b")).distinct()
         for before in tested:
             ordered = ordered.join(before, ["a", "b"], "left_anti")
         tested.append(materialize(ordered, "pairs"))
-        return materialize(confirm(tested[-1], texts, threshold, words), "links")
+        return materialize(confirm(tested[-1], source, threshold, words), "links")
 
-    comp = materialize(connected_components(linked(met)), "components")
+    comp = materialize(connected_components(linked(met, texts)), "components")
     left = met.where("size > 2").select("key", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     left = left.select("key", "rep", "n", F.coalesce("component", "rep").alias("at"))
+    split = left.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
+    left = left.join(split, "key", "left_semi").join(heads.select(F.col("doc_id").alias("rep"), "marks").dropDuplicates(["rep"]), "rep").select("key", "rep", "n", "marks", "at")
+    left = materialize(left, "crowded-buckets")
+    crowded = materialize(texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "crowded-texts")
     k = CENTRES
     while True:
         split = left.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
         left = materialize(left.join(split, "key", "left_semi"), "open-buckets")
         if left.isEmpty():
             break
-        pairs, left = _stars(left, k)
-        links, k = linked(pairs), CENTRES * k
+        pairs, left = _stars(left, k, threshold)
+        links, k = linked(pairs, crowded), CENTRES * k
         if links.isEmpty():
             continue
         names = comp.select(F.col("id").alias("a"), F.col("component").alias("a_in")), comp.select(F.col("id").alias("b"), F.col("component").alias("b_in"))
@@ -196,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = top.join(comp.select(F.col("component").alias("at")).distinct(), "at", "left_anti").select(F.col("at").alias("id"), F.col("top").alias("component"))
         moved = comp.withColumnRenamed("component", "at").join(top, "at", "left").select("id", F.coalesce("top", "at").alias("component"))
         comp = materialize(moved.unionByName(fresh), "components")
-        left = left.join(top, "at", "left").select("key", "rep", "n", F.coalesce("top", "at").alias("at"))
+        left = left.join(top, "at", "left").select("key", "rep", "n", "marks", F.coalesce("top", "at").alias("at"))
     whole = comp.withColumnRenamed("id", "rep")
     out = named.join(whole, "rep", "left").select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     repeated = out.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("times")).where("times > 1").select("doc_id", "low")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_arrow, materialize
+from .common import in_arrow, materialize, settled
 
 _U = np.uint64
 
@@ -115,6 +115,28 @@ def _cut(window: int, carry: list[str]):
     return run
 
 
+def _marks(rows: DataFrame, window: int) -> DataFrame:
+    """id, t, places (starts of windows to remove) and whole of the rows (id, text, t) that lose words."""
+    half = window // 2
+    level = in_arrow(rows, _first_level(half), "id long, t long, n long, d1 long, d2 long, hashes array<long>, places array<int>")
+    level = materialize(level.where(f"n >= {window} and id is not null"), "level-1")
+    # minima are written before they meet rows again: both sides of a join are plain exchanges then, and Spark can split a hot key
+    heads = materialize(level.groupBy("d1", "d2", "n").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"), "heads")
+    copies = level.select("id", "t", "d1", "d2", "n").join(heads, ["d1", "d2", "n"]).where("id > head").select("id", "t", F.lit(True).alias("whole")).distinct()
+    copies = materialize(copies, "copies")
+    own = level.join(copies.select("id", "t"), ["id", "t"], "left_anti").select("id", "t", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", "t", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
+    shared = own.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
+    shared = materialize(shared, "shared-anchors")
+    again = own.join(shared, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("place").alias("places"))
+    again = materialize(again, "repeated-anchors")
+    long_rows = rows.where("id is not null")
+    level2 = in_arrow(long_rows.join(again, ["id", "t"]).select("id", "t", "text", "places"), _second_level(half), "k1 long, k2 int, id long, t long, place int")
+    least = level2.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("k1", "k2", "low")
+    least = materialize(least, "shared-windows")
+    covered = level2.join(least, ["k1", "k2"]).where("id > low").groupBy("id", "t").agg(F.collect_set("place").alias("places"), F.lit(False).alias("whole"))
+    return covered.unionByName(copies.withColumn("places", F.lit(None).cast("array<int>")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row: the words left once each word is removed that lies in a
     window of ``window`` (even) words whose sequence also starts in a document with a smaller id, joined by one space.
@@ -132,25 +154,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
-    half = window // 2
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
-    level = in_arrow(rows, _first_level(half), "id long, t long, n long, d1 long, d2 long, hashes array<long>, places array<int>")
-    level = materialize(level.where(f"n >= {window} and id is not null"), "level-1")
-    # minima are written before they meet rows again: both sides of a join are plain exchanges then, and Spark can split a hot key
-    heads = materialize(level.groupBy("d1", "d2", "n").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"), "heads")
-    copies = level.select("id", "t", "d1", "d2", "n").join(heads, ["d1", "d2", "n"]).where("id > head").select("id", "t", F.lit(True).alias("whole")).distinct()
-    copies = materialize(copies, "copies")
-    own = level.join(copies.select("id", "t"), ["id", "t"], "left_anti").select("id", "t", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", "t", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
-    shared = own.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
-    shared = materialize(shared, "shared-anchors")
-    again = own.join(shared, "h").groupBy("id", "t").agg(F.collect_set("place").alias("places"))
-    again = materialize(again, "repeated-anchors")
-    long_rows = rows.where("id is not null")
-    level2 = in_arrow(long_rows.join(again, ["id", "t"]).select("id", "t", "text", "places"), _second_level(half), "k1 long, k2 int, id long, t long, place int")
-    least = level2.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("k1", "k2", "low")
-    least = materialize(least, "shared-windows")
-    covered = level2.join(least, ["k1", "k2"]).where("id > low").groupBy("id", "t").agg(F.collect_set("place").alias("places"), F.lit(False).alias("whole"))
-    marks = materialize(covered.unionByName(copies.withColumn("places", F.lit(None).cast("array<int>"))), "marks")
+    marks = settled(lambda: _marks(rows, window), "marks")
     all_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry)).withColumn("t", F.xxhash64("text")) if carry else rows
     ready = all_rows.join(marks, ["id", "t"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     types = "".join(f", carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_duplicates, packing, quality, substrings
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, settled, table
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -21,8 +21,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels outside the held-out quarter, doesn't reject."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, judged.where("predicted = 1"))
+    judge = lambda: quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
+    return _only(docs, settled(judge, "good"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

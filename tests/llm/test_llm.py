@@ -224,6 +224,12 @@ def test_page_text(spark):
     assert [rows[10 + i]["text"] for i in range(4)] == [f"Body {i} words" for i in range(4)]
 
 
+def test_wrapper_decides_inside_landmarks(spark):
+    pages = [(i, f"http://d.x/{i}", f"<body><article><h1>Title {i}</h1><div>Read our terms</div><p>Body {i} words</p></article></body>") for i in range(4)]
+    rows = {r["page_id"]: r["text"] for r in webtext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows == {i: f"Title {i}\nBody {i} words" for i in range(4)}
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     seq = lambda h: webtext.fold(webtext.walk(webtext.stream(h))[0])[0]
     wrapper = [[x, False] for x in seq("<ul><li>a</li><li>b</li></ul><p>x</p>")]

@@ -250,19 +250,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str | None, wrapper: list[list] | None = None) -> str:
-    """The article's blocks, one a line. Slots in elements that are apart are never read. If the page has landmarks
-    (article, main), the one with most text holds the article; without, all slots do that the host's wrapper doesn't
-    label as constant."""
+    """The article's blocks, one a line. Slots that the host's wrapper labels as constant are never read, nor are those
+    in elements that are apart. If what remains has landmarks (article, main), the one with most text holds the article."""
     nodes, slots = walk(stream(html or ""))
     good = [s for s in slots if not s["apart"] and not s["nested"]]
-    marks: dict[int, int] = {}
-    for s in good:
-        if s["mark"]:
-            marks[s["mark"]] = marks.get(s["mark"], 0) + len(_plain(s["text"]))
-    if marks and max(marks.values()):
-        best = max(marks, key=lambda k: (marks[k], -k))
-        good = [s for s in good if s["mark"] == best]
-    elif wrapper:
+    if wrapper:
         seq, to = fold(nodes)
         names = [_node(x[0]) for x in wrapper]
         constant = set()
@@ -271,6 +263,13 @@ def main_text(html: str | None, wrapper: list[list] | None = None) -> str:
             for a, b, size in SequenceMatcher(None, names, seq, autojunk=False).get_matching_blocks():
                 constant |= {b + k for k in range(size) if wrapper[a + k][2] and has_slot(seq[b + k])}
         good = [s for s in good if to[s["at"]] not in constant]
+    marks: dict[int, int] = {}
+    for s in good:
+        if s["mark"]:
+            marks[s["mark"]] = marks.get(s["mark"], 0) + len(_plain(s["text"]))
+    if marks and max(marks.values()):
+        best = max(marks, key=lambda k: (marks[k], -k))
+        good = [s for s in good if s["mark"] == best]
     blocks: dict[int, list[str]] = {}
     for s in good:
         blocks.setdefault(s["block"], []).append(s["text"])

@@ -71,7 +71,7 @@ def nearest_backward(spark, sf_dir):
 
 
 def _probes(spark, sf_dir):
-    return adapters.events_points(spark, sf_dir).where("seq % 97 = 0").select("uuid", F.col("time").alias("probe_time"), F.col("seq").alias("probe_id"))
+    return adapters.events_points(spark, sf_dir).select("uuid", F.col("time").alias("probe_time"), F.col("seq").alias("probe_id"))
 
 
 def asof_batch_backward(spark, sf_dir):

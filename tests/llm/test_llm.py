@@ -230,6 +230,19 @@ def test_wrapper_decides_inside_landmarks(spark):
     assert rows == {i: f"Title {i}\nBody {i} words" for i in range(4)}
 
 
+def test_constants_of_all_shapes_and_groups(spark):
+    """Single items where others repeat them, constant items of lists, and shapes that are seen once."""
+    items = ["", "<li>Topic 1</li>", "<li>Topic 2</li>", "<li>Topic 3</li>", ""]
+    pages = [(i, f"http://e.x/{i}", f"<body><div>Site name</div><ul><li>Home</li>{t}</ul><p>Body {i} words</p></body>") for i, t in enumerate(items)]
+    extra = ["", "<h2>Two {0}</h2>", "<h3>Three {0}</h3>", "<hr><h4>Four {0}</h4>"]
+    pages += [(10 + i, f"http://f.x/{i}", f"<body><div>Site name</div>{x.format(i)}<p>Body {i} words</p></body>") for i, x in enumerate(extra)]
+    pages += [(20 + i, f"http://g.x/{i}", "<body><div>Same</div><p>copy</p></body>") for i in range(4)]
+    rows = {r["page_id"]: r["text"] for r in webtext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [rows[i] for i in range(5)] == ["Body 0 words", *(f"Topic {i}\nBody {i} words" for i in (1, 2, 3)), "Body 4 words"]
+    assert [rows[10 + i] for i in range(4)] == ["Body 0 words", *(f"{w} {i}\nBody {i} words" for i, w in ((1, "Two"), (2, "Three"), (3, "Four")))]
+    assert [rows[20 + i] for i in range(4)] == ["Same\ncopy"] * 4
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     seq = lambda h: webtext.fold(webtext.walk(webtext.stream(h))[0])[0]
     wrapper = [[x, False] for x in seq("<ul><li>a</li><li>b</li></ul><p>x</p>")]

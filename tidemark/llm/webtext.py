@@ -17,7 +17,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, materialize, ship
@@ -33,6 +33,7 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "reply", "replies", "footer", "header", "masthead", "toolbar", "pagination", "pager", "form", "search"}
 _CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_WORD = re.compile(r"\w")
 
 
 def stream(html: str) -> list[tuple[str, str, str]]:
@@ -150,21 +151,23 @@ def fold(nodes: list[str], longest: int = 12) -> tuple[list, list[int]]:
     return seq, to
 
 
-def _absorb(seq: list, other: list) -> list:
-    """Single units of ``seq`` that ``other`` repeats, as repeated groups."""
-    for node in {x for x in other if isinstance(x, tuple)} - set(seq):
+def _absorb(seq: list, other: list) -> tuple[list, list[int]]:
+    """Single units of ``seq`` that ``other`` repeats, as repeated groups; and for each node the place it went to."""
+    known, to = set(seq), list(range(len(seq)))
+    for node in dict.fromkeys(x for x in other if isinstance(x, tuple) and x not in known):
         unit, i = list(node[1:]), 0
         while i + len(unit) <= len(seq):
             if seq[i : i + len(unit)] == unit:
                 seq = [*seq[:i], node, *seq[i + len(unit) :]]
+                to = [x if x < i else max(i, x - len(unit) + 1) for x in to]
             i += 1
-    return seq
+    return seq, to
 
 
 def align(wrapper: list[list], seq: list) -> list[list]:
     """The wrapper, nodes as [node, optional], widened so that it also matches ``seq``."""
-    seq = _absorb(seq, [x[0] for x in wrapper])
-    names = _absorb([x[0] for x in wrapper], seq)
+    seq, _ = _absorb(seq, [x[0] for x in wrapper])
+    names, _ = _absorb([x[0] for x in wrapper], seq)
     flags = [x[1] for x in wrapper] if len(names) == len(wrapper) else [False] * len(names)
     if len(names) != len(wrapper):
         loose = {json.dumps(x[0]) for x in wrapper if x[1]}
@@ -178,8 +181,14 @@ def align(wrapper: list[list], seq: list) -> list[list]:
     return out
 
 
-def has_slot(node) -> bool:
-    return node == "#" or isinstance(node, (tuple, list)) and any(has_slot(x) for x in node[1:])
+def places(names: list, seq: list) -> list[int]:
+    """The wrapper's place of each node of ``seq``, -1 where it has none."""
+    seq, to = _absorb(seq, names)
+    found = [-1] * len(seq)
+    for a, b, size in SequenceMatcher(None, names, seq, autojunk=False).get_matching_blocks():
+        for k in range(size):
+            found[b + k] = a + k
+    return [found[i] for i in to]
 
 
 def host_of(url: str | None) -> str:
@@ -191,10 +200,16 @@ def _plain(text: str) -> str:
     return re.sub(r"\s+", " ", unescape(text)).strip()
 
 
-_SEEN = "host string, shape long, stream binary, slot int, digest long"
+def _digest(text: str) -> int:
+    data = text.encode(errors="replace")
+    return zlib.crc32(data) << 20 ^ len(data)
+
+
+_SEEN = "host string, shape long, stream binary, slot int, digest long, content long"
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the folded stream (slot -1) for each page, and one for each text with words at a place of it."""
     for batch in batches:
         rows: list[tuple] = []
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -202,11 +217,12 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq, to = fold(nodes)
             text = zlib.compress(json.dumps(seq).encode())
             shape = zlib.crc32(text) << 20 ^ len(text)
-            found: dict[int, int] = {}
-            for s in slots:
-                found[to[s["at"]]] = zlib.crc32(_plain(s["text"]).encode(), found.get(to[s["at"]], 0))
-            rows += [(host_of(url), shape, text, k, v) for k, v in found.items()] or [(host_of(url), shape, text, -1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.int64())], names=["host", "shape", "stream", "slot", "digest"])
+            host, plain = host_of(url), [_plain(s["text"]) for s in slots]
+            content = _digest("\0".join(plain))
+            rows.append((host, shape, text, -1, shape, content))
+            rows += [(host, shape, None, k, v, content) for k, v in {(to[s["at"]], _digest(t)) for s, t in zip(slots, plain, strict=True) if _WORD.search(t)}]
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["host", "shape", "stream", "slot", "digest", "content"])
 
 
 def _node(x):
@@ -214,33 +230,43 @@ def _node(x):
 
 
 def _infer(host: str, found: pd.DataFrame) -> list[list]:
-    """[node, optional, constant] of one host from its distinct streams, the most common first."""
+    """[node, optional, constants] of one host from its distinct streams, the most common first. Constants are the digests
+    of texts that all pages of the host with that node have there, in a repeated group among others; there must be more
+    than two such pages, and not all with the same texts."""
+    streams = found[found["slot"] < 0].sort_values(["pages", "shape"], ascending=[False, True])
+    seqs = {r.shape: ([_node(x) for x in json.loads(zlib.decompress(r.stream))], r.pages) for r in streams.itertuples()}
     wrapper: list[list] = []
-    constants: dict[str, bool] = {}
-    order = found.groupby("shape")["pages"].max().sort_values(ascending=False, kind="stable").index
-    for shape in order:
-        mine = found[found["shape"] == shape]
-        seq = [_node(x) for x in json.loads(zlib.decompress(mine["stream"].iloc[0]))]
+    for seq, _ in seqs.values():
         wrapper = align(wrapper, seq) if wrapper else [[x, False] for x in seq]
-        varied = mine[mine["slot"] >= 0]
-        told = varied["pages"].max() > 2 and (varied["low"] != varied["high"]).any() if len(varied) else False
-        for r in varied.itertuples():
-            context = json.dumps(seq[max(0, r.slot - 3) : r.slot + 1])
-            same = bool(told and r.low == r.high and seq[r.slot] == "#")
-            constants[context] = constants.get(context, True) and same
-    out = []
-    for i, (node, optional) in enumerate(wrapper):
-        context = json.dumps([x[0] for x in wrapper[max(0, i - 3) : i + 1]])
-        out.append([node, optional, constants.get(context, False)])
-    return out
+    names = [x[0] for x in wrapper]
+    pages, texts = [0] * len(names), {}
+    for shape, mine in found[found["slot"] >= 0].groupby("shape"):
+        seqs[shape] += (mine,)
+    for seq, n, *mine in seqs.values():
+        at, best = places(names, seq), {}
+        for k in set(at) - {-1}:
+            pages[k] += n
+        for r in mine[0].itertuples() if mine else ():
+            key = (at[r.slot], r.digest)
+            if key not in best or best[key][0] < r.pages:
+                best[key] = (r.pages, r.low, r.high)
+        for key, (count, low, high) in best.items():
+            old = texts.get(key, (0, low, high))
+            texts[key] = (old[0] + count, min(old[1], low), max(old[2], high))
+    constants: list[list[int]] = [[] for _ in names]
+    for (k, digest), (count, low, high) in texts.items():
+        if k >= 0 and count == pages[k] > 2 and low != high:
+            constants[k].append(int(digest))
+    return [[node, optional, sorted(c)] for (node, optional), c in zip(wrapper, constants, strict=True)]
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of every host. Streams are counted by host and shape with partial sums first, and a
-    slot keeps its smallest and largest digest; so a host with any number of pages reaches the task that aligns as its
-    different shapes only."""
+    """host and wrapper (JSON) of every host. Streams and texts are counted by host, shape and place with partial sums
+    first, and texts that a host has on two pages or fewer, which can't be constant, go; so a host with any number of
+    pages reaches the task that aligns as its different shapes and their repeated texts only."""
     rows = in_arrow(pages.select("url", "html"), _streams, _SEEN)
-    seen = rows.groupBy("host", "shape", "stream", "slot").agg(F.count("*").alias("pages"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    seen = rows.groupBy("host", "shape", "stream", "slot", "digest").agg(F.count("*").alias("pages"), F.min("content").alias("low"), F.max("content").alias("high"))
+    seen = seen.withColumn("total", F.sum("pages").over(Window.partitionBy("host", "digest"))).where("slot < 0 or total > 2").drop("total")
     ship(pages.sparkSession)
 
     def run(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
@@ -250,19 +276,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str | None, wrapper: list[list] | None = None) -> str:
-    """The article's blocks, one a line. Slots that the host's wrapper labels as constant are never read, nor are those
-    in elements that are apart. If what remains has landmarks (article, main), the one with most text holds the article."""
+    """The article's blocks, one a line. Texts that the host's wrapper labels as constant are never read, nor are those
+    in elements that are apart; marks without words go with the rest of their block. If what remains has landmarks
+    (article, main), the one with most text holds the article."""
     nodes, slots = walk(stream(html or ""))
     good = [s for s in slots if not s["apart"] and not s["nested"]]
     if wrapper:
         seq, to = fold(nodes)
-        names = [_node(x[0]) for x in wrapper]
-        constant = set()
-        seq2 = _absorb(list(seq), names)
-        if len(seq2) == len(seq):
-            for a, b, size in SequenceMatcher(None, names, seq, autojunk=False).get_matching_blocks():
-                constant |= {b + k for k in range(size) if wrapper[a + k][2] and has_slot(seq[b + k])}
-        good = [s for s in good if to[s["at"]] not in constant]
+        at = places([_node(x[0]) for x in wrapper], seq)
+        fixed = [at[to[s["at"]]] >= 0 and wrapper[at[to[s["at"]]]][2] for s in good]
+        gone = [bool(f) and _digest(_plain(s["text"])) in f for s, f in zip(good, fixed, strict=True)]
+        lost = {s["block"] for s, g in zip(good, gone, strict=True) if g}
+        good = [s for s, g in zip(good, gone, strict=True) if not g]
+        lost -= {s["block"] for s in good if s["block"] in lost and _WORD.search(_plain(s["text"]))}
+        good = [s for s in good if s["block"] not in lost]
     marks: dict[int, int] = {}
     for s in good:
         if s["mark"]:

@@ -43,8 +43,8 @@ def new_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a last part keeps the document's first words."""
-    return mixing.mixed_rows(docs)
+    """Documents as often as the mix takes them, each whole: a source may exceed its target by a part of one text."""
+    return mixing.mixed_rows(docs, cut_last=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -307,3 +307,9 @@ def test_pipeline(spark):
             n.append(docs.count())
     assert 0.7 * 200 < n[0] < 200 and n[1] <= n[0] and n[2] <= n[1]
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_mix_cuts_no_text(spark):
+    docs = table(spark, "documents")
+    known = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.weighted_mix(spark, docs, SMALL).collect()} <= known

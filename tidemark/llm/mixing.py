@@ -92,14 +92,17 @@ def _prefixes(batches):
         yield batch.set_column(k, "text", pa.array(out, pa.string())).select([c for c in batch.schema.names if c != "mix_words"])
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, cut_last: bool = True, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs`` (doc_id, text, source and any others, n_chars fitted to the text):
     each document as many times as it is repeated, then once more with its first words if a part of it is taken. Rows
-    that repeat a doc_id are first made one; documents of which nothing is taken are left out."""
+    that repeat a doc_id are first made one; documents of which nothing is taken are left out. Without ``cut_last`` the
+    document in which a source's quota ends is taken whole, so a source may exceed its target by less than that text."""
     from .common import materialize
 
     one = docs.dropDuplicates(["doc_id"])
     share = materialize(mix(one, **options).select("doc_id", "size", "whole", "part"), "mix").where("whole > 0 or part > 0")
+    if not cut_last:
+        share = share.withColumn("part", F.when(F.col("part") > 0, F.col("size")).otherwise(F.col("part")))
     full = F.array_repeat(F.lit(None).cast("long"), F.col("whole").cast("int"))
     rest = F.when(F.col("part") == 0, F.array().cast("array<long>")).when(F.col("part") == F.col("size"), F.array(F.lit(None).cast("long"))).otherwise(F.array("part"))
     share = share.select("doc_id", F.concat(full, rest).alias("turns"))

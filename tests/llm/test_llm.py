@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -313,3 +314,53 @@ def test_pipeline_mix_cuts_no_text(spark):
     docs = table(spark, "documents")
     known = {(r["doc_id"], r["text"]) for r in docs.collect()}
     assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.weighted_mix(spark, docs, SMALL).collect()} <= known
+
+
+def plain_corpus(docs):
+    """Stages 2 to 4 in plain Python: [doc_id, text] of the mix of ``docs`` (doc_id, text, source), which are in order."""
+    comp = components([t for _, t, _ in docs], 5)[1]
+    docs = [d for i, d in enumerate(docs) if comp[i] == i]
+    words, first, kept = [d[1].encode().split() for d in docs], {}, []
+    for i, w in enumerate(words):
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, (w, (doc, text, source)) in enumerate(zip(words, docs, strict=True)):
+        gone = {x for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        if not w or len(gone) < len(w):
+            kept.append((doc, b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else text, source))
+    size = {s: sum(len(t.encode().split()) for _, t, x in kept if x == s) for s in sorted({d[2] for d in kept})}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(size)}
+    left, open_, target = sum(size.values()), set(size), {}
+    while over := {s for s in open_ if weight[s] * left / sum(weight[x] for x in open_) > 3 * size[s]}:
+        target |= {s: 3 * size[s] for s in over}
+        left, open_ = left - sum(3 * size[s] for s in over), open_ - over
+    target |= {s: weight[s] * (left / sum(weight[x] for x in open_)) for s in open_}
+    out = []
+    for s in size:
+        whole = int(target[s] / size[s])
+        quota = int(target[s]) - whole * size[s]
+        for doc, text, _ in sorted((d for d in kept if d[2] == s), key=lambda d: hashlib.md5(f"mix:{d[0]}".encode()).hexdigest()):
+            n = len(text.encode().split())
+            out += [(doc, text)] * (n and whole + (quota > 0))
+            quota -= n
+    return out
+
+
+def test_pipeline_run_against_plain_python(spark):
+    from tokenizers import Tokenizer
+
+    model, docs = Tokenizer.from_file(queries.tokenizer_path()), table(spark, "documents")
+    good = corpus_pipeline.good_documents(spark, docs, SMALL).select("doc_id", "text", "source").orderBy("doc_id").collect()
+    want = Counter()
+    for doc, text in plain_corpus([tuple(r) for r in good]):
+        ids = np.array([*model.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        head = len(ids) % 1024 or 1024
+        cuts = [(0, head), *((k, 1024) for k in range(head, len(ids), 1024))]
+        want.update((doc, start, length, zlib.crc32(ids[start : start + length].tobytes())) for start, length in cuts)
+    rows = corpus_pipeline.run(spark, SMALL).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    packs = {}
+    for r in rows:
+        packs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in map(sorted, packs.values()):
+        assert [o for o, _ in p] == [0, *itertools.accumulate(n for _, n in p[:-1])] and sum(n for _, n in p) <= 1024

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 from collections.abc import Callable
 
@@ -15,9 +16,12 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or, only where that is
-    unset (tests, local mode), a folder in the warehouse, which is then also set as the checkpoint folder."""
+    unset (tests, local mode), a folder in the warehouse, which is then also set as the checkpoint folder. On a cluster
+    it must be set, as the default warehouse is a disk of one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -48,15 +52,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """While this lasts, Spark removes a query's shuffle files once the query has ended. They would else stay until the
+    driver happens to collect its garbage, and add up over the steps of an operator. Nothing that ends in a written
+    table reads them again; a plan that is run a second time makes them anew."""
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:  # a Spark that lacks the setting
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends at files that survive the loss
     of any executor."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Remove the folders of materialized tables that no later step reads."""
+    for frame in frames:
+        for path in list(_written):
+            if any(path.rpartition("/")[2] in f for f in frame.inputFiles()[:1]):
+                remove(frame.sparkSession, path)
+                _written.remove(path)
+
+
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``materialize`` what ``make`` returns, then remove the folders that ``make`` wrote on the way: the result's files
     need none of them. Nothing else that ``make`` returned or kept may be used afterwards."""

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_arrow, materialize, settled
+from .common import in_arrow, materialize, settled, ship
 from .components import connected_components
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-CENTRES = 8
-WIDTH = 2 * BINS // 64
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 _U = np.uint64
 
 
@@ -58,28 +58,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return tokens.mix((tokens.mix(cut ^ _SALT) * (_SALT | _U(1))).sum(axis=2, dtype=np.uint64))
 
 
-def marks(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each minimum, as two planes of ``BINS`` bits in longs: where minima differ, 3 in 4 marks do."""
-    low = tokens.mix(sig)
-    planes = [np.packbits((low >> _U(k)).astype(np.uint8) & 1, axis=1).view(np.int64) for k in (0, 1)]
-    return np.concatenate(planes, axis=1)
-
-
-def _alike(a: str, b: str, n: str, m: str, threshold: int) -> Column:
-    """Whether so many marks agree that the sets may reach the threshold. The share that differs has a
-    mean of 3/4 of the distance; six standard deviations more are allowed, so that a pair at the threshold is missed once
-    in 10 ** 8 or so. Of a small set only some bins are filled; those that borrow add up to a quarter to the variance
-    that the filled ones give."""
-    p = 0.75 * (1 - threshold / 100)
-    filled = BINS * (1 - F.exp(-F.least(n, m) / BINS))
-    most = BINS * (p + 6 * F.sqrt(1.25 * p * (1 - p) / filled))
-    at = lambda c, i: F.col(c)[i]
-    half = WIDTH // 2
-    differ = sum((F.bit_count(at(a, i).bitwiseXOR(at(b, i)).bitwiseOR(at(a, i + half).bitwiseXOR(at(b, i + half)))) for i in range(half)), F.lit(0))
-    return differ <= most
-
-
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketch(words: int):
@@ -90,77 +69,114 @@ def _sketch(words: int):
                 n = to - at
                 row, h = tokens.shingle_sets(tokens.words(column, at, to, lower=True), words)
                 count = np.bincount(row, minlength=n)
-                digests = []
-                for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
-                    total = np.zeros(len(h) + 1, np.uint64)
-                    np.cumsum(tokens.mix(h ^ _U(salt)), out=total[1:])
-                    ends = np.cumsum(count)
-                    digests.append(tokens.mix(total[ends] - total[ends - count]))
-                sig = signatures(row, h, n)
-                keys = band_keys(sig).view(np.int64)
-                planes = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * WIDTH, WIDTH), pa.int32()), pa.array(marks(sig).ravel()))
+                ends = np.cumsum(count)
+                digests = [hashlib.blake2b(h[e - c : e], digest_size=16).digest() for e, c in zip(ends, count, strict=True)]
+                keys = band_keys(signatures(row, h, n)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(count, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests), lists, planes], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(count, pa.int64()), pa.array(digests, pa.binary()), lists], schema=_SKETCH)
 
     return run
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set, the band keys and the marks of every document."""
+    """doc_id, n_shingles, a 128-bit digest of the sorted shingle set and the band keys of every document."""
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_arrow(columns, _sketch(words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, marks array<long>")
+    return in_arrow(columns, _sketch(words), "doc_id long, n_shingles long, digest binary, bands array<long>")
+
+
+class _Sets:
+    """The shingle sets of a block of texts, compared by inverted lists of the shingles that several of them have."""
+
+    def __init__(self, text: pa.Array, words: int) -> None:
+        self.text, self.words = tokens.plain(text), words
+        rows, hashes = [], []
+        for at, to in tokens.runs(self.text):
+            row, h = tokens.shingle_sets(tokens.words(self.text, at, to, lower=True), words)
+            rows.append(row + at)
+            hashes.append(h)
+        row, (_, code) = np.concatenate(rows), np.unique(np.concatenate(hashes), return_inverse=True)
+        self.size = np.bincount(row, minlength=len(text))
+        often = np.bincount(code)[code] > 1
+        self.row, self.code = row[often], code[often]
+        self.first = np.searchsorted(self.row, np.arange(len(text) + 1))
+        order = np.argsort(self.code, kind="stable")
+        self.owners = self.row[order]
+        self.start = np.searchsorted(self.code[order], np.arange(len(code) and code.max() + 2))
+
+    def common(self, x: int) -> np.ndarray:
+        """How many shingles each text shares with text ``x``."""
+        mine = self.code[self.first[x] : self.first[x + 1]]
+        many = self.start[mine + 1] - self.start[mine]
+        ends = np.cumsum(many)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[mine] - ends + many, many)
+        return np.bincount(self.owners[place], minlength=len(self.size))
+
+    def exact(self, x: int) -> set:
+        """The shingles of text ``x`` as words, for the last check of a link."""
+        found = self.text[x].as_py().encode().lower().split()
+        return set(zip(*(found[k:] for k in range(self.words)), strict=False)) or {tuple(found)}
+
+
+def _joined(sets: _Sets, group: np.ndarray, scan: np.ndarray, wanted: np.ndarray | None, threshold: int) -> list[tuple[int, int]]:
+    """Links (x, y) that join groups (numbers, changed in place). Each x of ``scan`` is held against all texts (with
+    ``wanted``: those marked) of other groups. Without it, texts that by their turn are in the group of the first are
+    passed over: a link between two of those joins nothing."""
+    links: list[tuple[int, int]] = []
+    for x in scan:
+        if wanted is None and links and group[x] == group[scan[0]]:
+            continue
+        common, size = sets.common(x), sets.size
+        near = (100 * common >= threshold * (size + size[x] - common)) & (common > 0) & (group != group[x])
+        if wanted is not None:
+            near &= wanted
+        own = sets.exact(x) if near.any() else set()
+        for y in np.flatnonzero(near):
+            if group[y] != group[x]:
+                both = len(own & (other := sets.exact(y)))
+                if 100 * both >= threshold * (len(own) + len(other) - both):
+                    group[group == group[y]] = group[x]
+                    links.append((x, y))
+    return links
+
+
+def _pairs(rep: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": rep[at[:, 0]], "b": rep[at[:, 1]]})
+
+
+def _within(threshold: int, words: int):
+    """Links within a block of a star: its centre first, then each text that isn't yet joined with it."""
+
+    def run(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        rep = block.column("rep").to_numpy()
+        if len(rep) < 2:
+            return _pairs(rep, [])
+        sets = _Sets(block.column("text"), words)
+        scan = np.lexsort((rep, rep != key[0].as_py()))
+        return _pairs(rep, _joined(sets, np.unique(rep, return_inverse=True)[1], scan, None, threshold))
+
+    return run
 
 
-def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for at, to in tokens.runs(column):
-        row, h = tokens.shingle_sets(tokens.words(column, at, to, lower=True), words)
-        out += np.split(h, np.cumsum(np.bincount(row, minlength=to - at))[:-1])
-    return out
+def _between(threshold: int, words: int):
+    """Links between texts of a block and those of other blocks of its star that aren't in the star's main component."""
 
+    def run(key: tuple, block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        rep, guest = block.column("rep").to_numpy(), block.column("guest").to_numpy(zero_copy_only=False)
+        if guest.all() or not guest.any():
+            return _pairs(rep, [])
+        sets = _Sets(block.column("text"), words)
+        group = np.unique(block.column("at").to_numpy(), return_inverse=True)[1]
+        return _pairs(rep, _joined(sets, group, np.flatnonzero(guest), ~guest, threshold))
+
+    return run
 
-def _verifier(threshold: int, words: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            text = pa.chunked_array([batch.column("ta"), batch.column("tb")]).dictionary_encode()
-            text = text.unify_dictionaries().combine_chunks()
-            sets = _sets(tokens.plain(text.dictionary), words)
-            code = text.indices.to_numpy(zero_copy_only=False)
-            n = batch.num_rows
-            keep = np.zeros(n, bool)
-            for i in range(n):
-                x, y = sets[code[i]], sets[code[n + i]]
-                few, many = sorted((len(x), len(y)))
-                if few and 100 * few >= threshold * many:
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[i] = 100 * common >= threshold * (few + many - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
-
-    return verify
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full shingle sets reach the threshold in per cent. Texts are dealt by id once
-    and that exchange serves both joins; a centre with many partners is a skewed join, which Spark splits."""
-    at_a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    at_b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "ta", "tb")
-    return in_arrow(both, _verifier(threshold, words), "a long, b long")
-
-
-def _stars(buckets: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rest) of open buckets (key, rep, n, marks, at). The ``k`` rarest components of each bucket are its centres: their
-    classes are paired with those of all its other components, and leave it."""
-    rarest = Window.partitionBy("key").orderBy("m", "at")
-    centres = buckets.groupBy("key", "at").agg(F.count("*").alias("m")).withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= k)
-    centres = materialize(centres.select("key", "at"), "centres")
-    hub = buckets.join(centres, ["key", "at"]).select("key", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("marks").alias("c_marks"), F.col("at").alias("c_at"))
-    met = buckets.join(hub, "key").where((F.col("at") != F.col("c_at")) & (100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn")) & _alike("marks", "c_marks", "n", "cn", threshold))
-    return met.select("rep", "c", "n", "cn"), buckets.join(centres, ["key", "at"], "left_anti")
+
+def _in_groups(rows: DataFrame, keys: list[str], function) -> DataFrame:
+    ship(rows.sparkSession)
+    return rows.groupBy(*keys).applyInArrow(function, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, words: int = 5) -> DataFrame:
@@ -168,13 +184,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents whose sets of ``words``-word shingles are equal form a class, named after its smallest id; classes are
     compared by their smallest document. A class is put in one bucket for each of 42 bands of 6 minima, so that a pair
-    at the threshold of 0.8 meets in none with probability 3e-6. Each bucket proposes star-shaped edges to its smallest
-    class; those that full sets confirm give first components. The centre leaves its bucket, and buckets that still hold
-    several components go through more rounds, until none does: the rarest components of a bucket, 8, 64 and so on,
-    become its centres, are compared with the classes of its other components and leave it. So any two classes of a
-    bucket are compared or already in one component, and no link is lost; pairs inside a component are never formed.
-    Sizes that can't reach the threshold aren't compared, nor, in those rounds, are sets whose marks are too far
-    apart (:func:`_alike`); every edge is confirmed on full sets.
+    at the threshold of 0.8 meets in none with probability 3e-6. Each bucket proposes star-shaped edges, from its
+    smallest class to each of the others; edges of one centre are one star, whatever number of buckets they come from, so
+    a crowd that fills many buckets costs as many edges as it has classes. Any two classes of a bucket are in one star.
+    A star's texts are compared on full sets in one place: with the centre first, then each that is still apart with all
+    others. Only links that join components leave it, so no pairs of a group are ever emitted and no link is lost.
+
+    A star of more than ``BLOCK`` texts (or ``BLOCK_SHINGLES`` shingles) is dealt in blocks, each with the centre. Of a
+    star whose blocks end in different components, those texts outside its main component then visit the other blocks.
+    Sets are compared by 64-bit hashes of words; every link that joins two components is confirmed on the words.
 
     Null, empty and blank texts have no shingles, are linked with nothing and keep their own id. Rows with the same id
     and text count as one document; rows that repeat an id with another text share one component_id. A null id is
@@ -183,55 +201,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return settled(lambda: _near_duplicates(docs, id_col, text_col, threshold, words), "near-duplicates")
 
 
+def _stars(heads: DataFrame) -> DataFrame:
+    """c, rep, blk and blocks: the texts of every star, in blocks; the centre is in each block."""
+    rows = heads.select("rep", F.explode("bands").alias("key"))
+    # written first, so that the join meets two plain exchanges, of which Spark can split a hot key
+    star = rows.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).where("c < last").drop("last")
+    met = rows.join(materialize(star, "stars"), "key").select("c", "rep").distinct()
+    met = materialize(met.join(heads.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "edges")
+    size = met.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = met.join(size, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return materialize(dealt.select("c", "rep", "blocks", F.explode(F.when(F.col("c") == F.col("rep"), every).otherwise(own)).alias("blk")), "dealt-edges")
+
+
+def _bridges(placed: DataFrame, comp: DataFrame, threshold: int, words: int) -> DataFrame | None:
+    """Links between blocks of the stars that still hold several components; None if there are no such stars."""
+    rows = placed.where("blocks > 1 and (c != rep or blk = 0)")
+    at = rows.select("c", "rep", "blk").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("at", F.coalesce("component", "rep")).drop("component")
+    at = materialize(at, "blocks")
+    kinds = at.groupBy("c", "at").agg(F.count("*").alias("m"))
+    main = kinds.groupBy("c").agg(F.max_by("at", F.struct("m", "at")).alias("main"), F.count("*").alias("kinds"), F.sum("m").alias("all"), F.max("m").alias("most")).where("kinds > 1")
+    main = materialize(main.select("c", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("chunks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("least")), "open-stars")
+    if main.isEmpty():
+        return None
+    both = rows.join(at.select("c", "rep", "blk", "at"), ["c", "rep", "blk"]).join(main, "c")
+    hosts = both.select("c", "rep", "text", "at", "blk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("guest"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("blk"))
+    guests = both.where("at != main").select("c", "rep", "text", "at", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), F.explode(others).alias("blk"), F.lit(True).alias("guest"))
+    return _in_groups(hosts.unionByName(guests), ["c", "blk", "chunk"], _between(threshold, words))
+
+
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: int, words: int) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
     sketch = materialize(sketches(docs, words, id_col, text_col), "sketch")
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
     # written first, so that the join below meets two plain exchanges, of which Spark can split a hot digest's rows
-    classes = materialize(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "digests")
-    named = materialize(sketch.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "classes")
-    heads = filled.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    star = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("c")).where("size > 1")
-    star = materialize(star.select("key", "size", F.col("c.rep").alias("c"), F.col("c.n").alias("cn")), "stars")
-    met = materialize(rows.join(star, "key").where("rep != c"), "buckets")
-    tested: list[DataFrame] = []
-
-    def linked(pairs: DataFrame, source: DataFrame) -> DataFrame:
-        """Those of the pairs (rep, c, n, cn) that weren't tested before and reach the threshold."""
-        ordered = pairs.where(100 * F.least("n", "cn") >= threshold * F.greatest("n", "cn"))
-        ordered = ordered.select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b")).distinct()
-        for before in tested:
-            ordered = ordered.join(before, ["a", "b"], "left_anti")
-        tested.append(materialize(ordered, "pairs"))
-        return materialize(confirm(tested[-1], source, threshold, words), "links")
-
-    comp = materialize(connected_components(linked(met, texts)), "components")
-    left = met.where("size > 2").select("key", "rep", "n").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    left = left.select("key", "rep", "n", F.coalesce("component", "rep").alias("at"))
-    split = left.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
-    left = left.join(split, "key", "left_semi").join(heads.select(F.col("doc_id").alias("rep"), "marks").dropDuplicates(["rep"]), "rep").select("key", "rep", "n", "marks", "at")
-    left = materialize(left, "crowded-buckets")
-    crowded = materialize(texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "crowded-texts")
-    k = CENTRES
-    while True:
-        split = left.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
-        left = materialize(left.join(split, "key", "left_semi"), "open-buckets")
-        if left.isEmpty():
-            break
-        pairs, left = _stars(left, k, threshold)
-        links, k = linked(pairs, crowded), CENTRES * k
-        if links.isEmpty():
-            continue
-        names = comp.select(F.col("id").alias("a"), F.col("component").alias("a_in")), comp.select(F.col("id").alias("b"), F.col("component").alias("b_in"))
-        bridges = links.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
-        top = materialize(connected_components(bridges).select(F.col("id").alias("at"), F.col("component").alias("top")), "tops")
-        fresh = top.join(comp.select(F.col("component").alias("at")).distinct(), "at", "left_anti").select(F.col("at").alias("id"), F.col("top").alias("component"))
-        moved = comp.withColumnRenamed("component", "at").join(top, "at", "left").select("id", F.coalesce("top", "at").alias("component"))
-        comp = materialize(moved.unionByName(fresh), "components")
-        left = left.join(top, "at", "left").select("key", "rep", "n", "marks", F.coalesce("top", "at").alias("at"))
-    whole = comp.withColumnRenamed("id", "rep")
-    out = named.join(whole, "rep", "left").select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    classes = materialize(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")
+    named = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    named = materialize(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "classes")
+    heads = filled.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands")
+    dealt = _stars(heads)
+    # neither side has a bound, so neither is broadcast, whatever its size here
+    placed = materialize(dealt.join(texts.hint("merge"), "rep"), "placed")
+    links = materialize(_in_groups(placed, ["c", "blk"], _within(threshold, words)), "links")
+    comp = materialize(connected_components(links), "components")
+    more = _bridges(placed, comp, threshold, words)
+    if more is not None:
+        comp = materialize(connected_components(links.unionByName(materialize(more, "bridges"))), "components")
+    out = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     repeated = out.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count("*").alias("times")).where("times > 1").select("doc_id", "low")
     out = out.join(repeated, "doc_id", "left").withColumn("component_id", F.coalesce("low", "component_id")).drop("low")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,6 +6,7 @@ is worked through in runs of rows of about ``SLICE`` bytes, so that memory follo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,26 +28,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i < n, kept and doubled on demand."""
-    have = _powers.get(base, np.ones(1, np.uint64))
-    while len(have) < n:
-        step = _U(pow(base, len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
-    _powers[base] = have
-    return have[:n]
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)  # the first k bytes of eight
+_STEPS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+LONG = 256
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: int = 1) -> list[np.ndarray]:
+    """One or two independent 64-bit hashes of the byte runs [start, end): eight bytes at a time go into a state that is
+    mixed in full after each, so no arithmetic of letters and places is left for two words to agree in. Runs of more
+    than ``LONG`` bytes are digested by BLAKE2."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    out = [mix(size.astype(np.uint64) + _U(step)) for step in _STEPS[:seeds]]
+    live, at = np.flatnonzero(size <= LONG), start
+    live = slice(None) if len(live) == len(size) else live
+    at, left = start[live], size[live]
+    while len(at):
+        chunk = eights[at].view(np.uint64).ravel() & _KEEP[np.minimum(left, 8)]
+        for h, step in zip(out, _STEPS, strict=False):
+            h[live] = mix((h[live] ^ chunk) * _U(step))
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        for k, h in enumerate(out):
+            h[i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return out
 
 
 @dataclass
 class Words:
-    """Words of a run of rows: ``row`` (ascending), ``hash`` and byte bounds in ``data``; ``first[i]`` is the place of
-    row i's first word, with one more entry at the end."""
+    """Words of a run of rows: ``row`` (ascending), ``hash`` (``other``: a second, independent one, if asked for) and byte
+    bounds in ``data``; ``first[i]`` is the place of row i's first word, with one more entry at the end."""
 
     data: np.ndarray
     row: np.ndarray
@@ -54,6 +69,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    other: np.ndarray
 
 
 def runs(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -83,7 +99,7 @@ def offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buffer, np.int64)[column.offset : column.offset + len(column) + 1]
 
 
-def words(column: pa.Array, at: int, to: int, lower: bool = False) -> Words:
+def words(column: pa.Array, at: int, to: int, lower: bool = False, wide: bool = False) -> Words:
     """Words of rows ``at`` to ``to`` of a column made by :func:`plain`."""
     bounds = offsets(column)[at : to + 1]
     buffer = column.buffers()[2]
@@ -100,30 +116,31 @@ def words(column: pa.Array, at: int, to: int, lower: bool = False) -> Words:
     end = inside.copy()
     end[:-1] &= ~inside[1:] | begins[1:n]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    hashes = np.empty(len(s), np.uint64)
-    k = 0
-    while k < len(s):  # blocks of whole words, so that the table of powers stays small
-        j = max(k + 1, int(np.searchsorted(e, s[k] + SLICE, "right")))
-        a, b = s[k], e[j - 1]
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[data[a:b]] * powers(_BASE, b - a), out=total[1:])
-        hashes[k:j] = (total[e[k:j] - a] - total[s[k:j] - a]) * powers(_UNBASE, b - a)[s[k:j] - a]
-        k = j
-    hashes = mix(hashes + (e - s).astype(np.uint64))
+    hashes = word_hashes(data, s, e, 1 + wide)
     first = np.searchsorted(s, bounds)
     row = np.repeat(np.arange(to - at), np.diff(first))
-    return Words(data, row, hashes, s, e, first)
+    return Words(data, row, hashes[0], s, e, first, hashes[-1])
+
+
+def follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a run from those of its two parts, in order."""
+    return mix(a * _U(0x9FB21C651E98DF25) + b)
 
 
-def windows(hashes: np.ndarray, n: int, base: int = 0xC2B2AE3D27D4EB4F | 1) -> np.ndarray:
-    """Hash of every n successive entries (``len(hashes) - n + 1`` of them)."""
+def windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n successive entries (``len(hashes) - n + 1`` of them), from runs of doubled length: no sum of
+    powers, which words in a regular order could defeat."""
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    unbase = pow(base, -1, 1 << 64)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
-    return mix((total[n:] - total[:m]) * powers(unbase, m))
+    run, size, out = hashes, 1, None
+    while True:
+        if n & size:  # this run, then those shorter ones that are already joined
+            out = run if out is None else follow(run[: len(out) - size], out[size:])
+        size *= 2
+        if size > n:
+            return out[:m]
+        run = follow(run[: -(size // 2)], run[size // 2 :])
 
 
 def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +148,6 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     shingle, a row without words none."""
     rows, m = len(w.first) - 1, max(len(w.hash) - n + 1, 0)
     count = np.diff(w.first)
-    follow = lambda h, x: mix(h * _U(0x9FB21C651E98DF25) + x)
     h = w.hash[:m]
     for k in range(1, n):
         h = follow(h, w.hash[k : k + m])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import in_arrow, materialize, settled
 
-_U = np.uint64
-
 
 def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     """``best`` (np.minimum or np.maximum) of every n successive entries, by doubling."""
@@ -42,23 +41,19 @@ def anchors(w: tokens.Words, half: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_level(half: int):
-    schema = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tokens.plain(batch.column("text"))
             for a, b in tokens.runs(column):
-                w = tokens.words(column, a, b)
+                w = tokens.words(column, a, b, wide=True)
                 at, h = anchors(w, half)
                 bounds = pa.array(np.searchsorted(at, w.first), pa.int32())
-                digests = []
-                for base in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-                    total = np.zeros(len(w.hash) + 1, np.uint64)
-                    np.cumsum(w.hash * tokens.powers(base, len(w.hash)), out=total[1:])
-                    whole = (total[w.first[1:]] - total[w.first[:-1]]) * tokens.powers(pow(base, -1, 1 << 64), int(w.first[-1]) + 1)[w.first[:-1]]
-                    digests.append(pa.array(tokens.mix(whole + np.diff(w.first).astype(np.uint64)).view(np.int64)))
+                both = np.stack([w.hash, w.other], 1)
+                digests = [hashlib.blake2b(both[i:j], digest_size=16).digest() for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
                 place = (at - w.first[w.row[at]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("t").slice(a, b - a), pa.array(np.diff(w.first), pa.int64()), *digests, pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(place))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("t").slice(a, b - a), pa.array(np.diff(w.first), pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(place))], schema=schema)
 
     return run
 
@@ -71,7 +66,7 @@ def _second_level(half: int):
             ends = np.cumsum(lists)
             ids, texts = batch.column("id").to_numpy(), batch.column("t").to_numpy()
             for a, b in tokens.runs(column):
-                w = tokens.words(column, a, b)
+                w = tokens.words(column, a, b, wide=True)
                 if len(w.hash) < 2 * half:
                     continue
                 h = tokens.windows(w.hash, half)
@@ -83,9 +78,9 @@ def _second_level(half: int):
                 lead = _sliding(marked, half + 1, np.minimum) == _sliding(h, half + 1, np.minimum)
                 room = np.repeat(w.first[1:], np.diff(w.first)) - np.arange(len(w.hash))
                 s = np.flatnonzero(lead & (room[: len(lead)] >= 2 * half))
-                one, two = tokens.windows(w.hash, 2 * half)[s], tokens.windows(w.hash, 2 * half, 0x27D4EB2F165667C5)[s]
+                one, two = (tokens.follow(x[s], x[s + half]) for x in (h, tokens.windows(w.other, half)))
                 r = w.row[s]
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a + r]), pa.array(texts[a + r]), pa.array((s - w.first[r]).astype(np.int32))], names=["k1", "k2", "id", "t", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[a + r]), pa.array(texts[a + r]), pa.array((s - w.first[r]).astype(np.int32))], names=["k1", "k2", "id", "t", "place"])
 
     return run
 
@@ -118,19 +113,20 @@ def _cut(window: int, carry: list[str]):
 def _marks(rows: DataFrame, window: int) -> DataFrame:
     """id, t, places (starts of windows to remove) and whole of the rows (id, text, t) that lose words."""
     half = window // 2
-    level = in_arrow(rows, _first_level(half), "id long, t long, n long, d1 long, d2 long, hashes array<long>, places array<int>")
+    level = in_arrow(rows, _first_level(half), "id long, t long, n long, digest binary, hashes array<long>, places array<int>")
     level = materialize(level.where(f"n >= {window} and id is not null"), "level-1")
     # minima are written before they meet rows again: both sides of a join are plain exchanges then, and Spark can split a hot key
-    heads = materialize(level.groupBy("d1", "d2", "n").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"), "heads")
-    copies = level.select("id", "t", "d1", "d2", "n").join(heads, ["d1", "d2", "n"]).where("id > head").select("id", "t", F.lit(True).alias("whole")).distinct()
+    heads = materialize(level.groupBy("digest").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"), "heads")
+    copies = level.select("id", "t", "digest").join(heads, "digest").where("id > head").select("id", "t", F.lit(True).alias("whole")).distinct()
     copies = materialize(copies, "copies")
     own = level.join(copies.select("id", "t"), ["id", "t"], "left_anti").select("id", "t", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("id", "t", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
     shared = own.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     shared = materialize(shared, "shared-anchors")
     again = own.join(shared, "h", "left_semi").groupBy("id", "t").agg(F.collect_set("place").alias("places"))
     again = materialize(again, "repeated-anchors")
-    long_rows = rows.where("id is not null")
-    level2 = in_arrow(long_rows.join(again, ["id", "t"]).select("id", "t", "text", "places"), _second_level(half), "k1 long, k2 int, id long, t long, place int")
+    # no side of the joins with texts has a bound, so none is broadcast, whatever its size here
+    level2 = in_arrow(rows.where("id is not null").hint("merge").join(again, ["id", "t"]).select("id", "t", "text", "places"), _second_level(half), "k1 long, k2 long, id long, t long, place int")
+    level2 = materialize(level2, "level-2")
     least = level2.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("k1", "k2", "low")
     least = materialize(least, "shared-windows")
     covered = level2.join(least, ["k1", "k2"]).where("id > low").groupBy("id", "t").agg(F.collect_set("place").alias("places"), F.lit(False).alias("whole"))
@@ -144,7 +140,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Level one looks at windows of half that length. Of these, only the anchors (see :func:`anchors`) are dealt by hash;
     every full window holds at least one. Anchors that occur in a single document end there. Level two forms windows of
     twice the length, only where the anchor that leads one is repeated, and takes the smallest id of each by partial minima;
-    windows are keyed by 96 bits of two hashes. Doubling ends at ``window``, as longer repeats consist of such windows.
+    windows are keyed by 128 bits, two hashes of their words that are independent down to the letters and are mixed in
+    full word by word and run by run, so that of 10 ** 14 windows two different ones agree with probability 10 ** -11. Doubling ends at ``window``, as longer repeats consist of such windows.
     A passage that any number of documents share is a skewed join, which Spark splits.
 
     A document whose whole word sequence equals that of a smaller id takes no part and loses all words if it has at
@@ -157,6 +154,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     marks = settled(lambda: _marks(rows, window), "marks")
     all_rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry)).withColumn("t", F.xxhash64("text")) if carry else rows
-    ready = all_rows.join(marks, ["id", "t"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    ready = all_rows.hint("merge").join(marks, ["id", "t"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     types = "".join(f", carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     return in_arrow(ready, _cut(window, list(carry)), "doc_id long, n_words long, n_removed long, kept_text string" + types)

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import WORDS, in_arrow
+from .common import WORDS, in_arrow, materialize
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _size(text_col: str) -> Column:
+    return F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(WORDS))).cast("long")
+
+
+def _source(source_col: str) -> list[Column]:
     source = F.col(source_col).cast("string")
-    size = F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit(WORDS)))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), size.cast("long").alias("size"), source.isNull().alias("s0"), F.coalesce(source, F.lit("")).alias("s1"))
+    return [source.isNull().alias("s0"), F.coalesce(source, F.lit("")).alias("s1")]
+
+
+def _turn(id_col: str, text_col: str, seed: str) -> Column:
+    """What a source's rows are taken in the order of: a seeded hash of the id, then a hash of the text."""
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))))
+    return F.struct(key.alias("h"), F.xxhash64(text_col).alias("t"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -36,37 +46,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs
     return known.select("s0", "s1", "source_size", target.alias("target"))
 
 
+def shares(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, buckets: int = 3) -> DataFrame:
+    """One row for each source of ``sizes`` (s0, s1, turn, size): source_size, target, whole (full repetitions), cut and
+    part. Once more are taken the rows whose turn comes before ``cut``, and of those at ``cut`` ``part`` words each, so
+    that the source's words equal its target rounded down.
+
+    Sums by the first ``buckets`` hex digits of the hash come first; only the one bucket in which a source's quota ends
+    is ordered row by row, so a source with most of the rows isn't one task's work."""
+    goal = targets(sizes, weights, max_epochs)
+    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    goal = goal.withColumn("quota", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
+    goal = materialize(goal, "targets")
+    bucket = F.substring("turn.h", 1, buckets).alias("bucket")
+    sums = sizes.groupBy("s0", "s1", bucket).agg(F.sum("size").alias("sum"))
+    run = F.sum("sum").over(Window.partitionBy("s0", "s1").orderBy("bucket"))
+    ends = sums.withColumn("upto", run).join(goal.select("s0", "s1", "quota"), ["s0", "s1"])
+    ends = ends.where("upto >= quota and upto - sum < quota").select("s0", "s1", "bucket", (F.col("quota") - F.col("upto") + F.col("sum")).alias("room"))
+    rows = sizes.select("s0", "s1", bucket, "turn", "size").join(ends, ["s0", "s1", "bucket"]).groupBy("s0", "s1", "room", "turn").agg(F.sum("size").alias("all"), F.count("*").alias("n"))
+    ahead = F.sum("all").over(Window.partitionBy("s0", "s1").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("all")
+    last = rows.withColumn("ahead", ahead).where("ahead < room and room <= ahead + all")
+    last = last.select("s0", "s1", F.col("turn").alias("cut"), F.floor((F.col("room") - F.col("ahead")) / F.col("n")).cast("long").alias("part"))
+    return materialize(goal.drop("quota").join(last, ["s0", "s1"], "left"), "shares")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", buckets: int = 3) -> DataFrame:
     """doc_id, size, source, source_size, target, whole (full repetitions), part (words of one more) and taken of each row.
 
     Every document of a source is repeated as often as its target holds the whole source; the words still missing come
-    from its documents in the order of a seeded hash, each at most once, the last one only in part. So a source's taken
-    words equal its target rounded down, and no document exceeds ``max_epochs`` times its size. Sums by the first
-    ``buckets`` hex digits of the hash come first, so only the one bucket in which a source's quota ends is ordered row
-    by row: a source with most of the rows isn't one task's work.
+    from its documents in the order of a seeded hash, each at most once, the last one only in part (:func:`shares`). So a
+    source's taken words equal its target rounded down, and no document exceeds ``max_epochs`` times its size. Texts are
+    read once; a row finds its share by its source, among one row for each source, without a shuffle by row.
 
     Null and blank texts have size 0 and nothing is taken from them; a null source is a source of its own, after all
-    others; rows may repeat, with the same or another text. A null id is hashed as an empty one. An empty table gives an
-    empty one. Only DataFrame functions are used."""
-    sizes = _named(docs, id_col, text_col, source_col)
-    goal = targets(sizes, weights, max_epochs)
-    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("quota", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sizes.withColumn("h", key).withColumn("bucket", F.substring("h", 1, buckets))
-    sums = rows.groupBy("s0", "s1", "bucket").agg(F.sum("size").alias("sum"))
-    run = F.sum("sum").over(Window.partitionBy("s0", "s1").orderBy("bucket"))
-    cut = sums.withColumn("upto", run).join(goal, ["s0", "s1"])
-    inside = F.col("upto") - F.col("sum")
-    cut = cut.select("s0", "s1", "bucket", "source_size", "target", "whole", F.greatest(F.lit(0), F.least("sum", F.col("quota") - inside)).cast("long").alias("room"), "sum")
-    both = rows.join(cut, ["s0", "s1", "bucket"])
-    split = (F.col("room") > 0) & (F.col("room") < F.col("sum"))
-    settled = both.where(~split).withColumn("part", F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
-    order = Window.partitionBy("s0", "s1", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = F.sum("size").over(order) - F.col("size")
-    last = both.where(split).withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("room") - ahead)).cast("long"))
-    out = settled.unionByName(last)
-    return out.select("doc_id", "size", F.when(~F.col("s0"), F.col("s1")).alias("source"), "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+    others; rows that repeat id and text share equally what the quota leaves for them, rounded down. A null id is hashed
+    as an empty one. An empty table gives an empty one. Only DataFrame functions are used."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_source(source_col), _turn(id_col, text_col, seed).alias("turn"), _size(text_col).alias("size"))
+    rows = materialize(rows, "sizes")
+    both = rows.join(shares(rows, weights, max_epochs, buckets), ["s0", "s1"])
+    part = F.when(F.col("turn") < F.col("cut"), F.col("size")).when(F.col("turn") == F.col("cut"), F.col("part")).otherwise(F.lit(0).cast("long"))
+    both = both.withColumn("part", part)
+    return both.select("doc_id", "size", F.when(~F.col("s0"), F.col("s1")).alias("source"), "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def _prefixes(batches):
@@ -76,7 +95,7 @@ def _prefixes(batches):
 
     word = re.compile(WORDS)
     for batch in batches:
-        texts, words = batch.column("text"), batch.column("mix_words")
+        texts, words = batch.column("text"), batch.column("words")
         out = []
         for i in range(batch.num_rows):
             text, n = texts[i].as_py(), words[i].as_py()
@@ -88,25 +107,31 @@ def _prefixes(batches):
                     end = found.end()
                 text = text[:end]
             out.append(text)
-        k = batch.schema.get_field_index("text")
-        yield batch.set_column(k, "text", pa.array(out, pa.string())).select([c for c in batch.schema.names if c != "mix_words"])
-
-
-def mixed_rows(docs: DataFrame, cut_last: bool = True, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs`` (doc_id, text, source and any others, n_chars fitted to the text):
-    each document as many times as it is repeated, then once more with its first words if a part of it is taken. Rows
-    that repeat a doc_id are first made one; documents of which nothing is taken are left out. Without ``cut_last`` the
-    document in which a source's quota ends is taken whole, so a source may exceed its target by less than that text."""
-    from .common import materialize
-
-    one = docs.dropDuplicates(["doc_id"])
-    share = materialize(mix(one, **options).select("doc_id", "size", "whole", "part"), "mix").where("whole > 0 or part > 0")
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "text"])
+
+
+def mixed_rows(docs: DataFrame, cut_last: bool = True, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself, with the columns of ``docs`` (doc_id, text, source and any others; n_chars fitted to the text):
+    each row as many times as it is repeated, then once more with its first words if a part of it is taken. Without
+    ``cut_last`` the document in which a source's quota ends is taken whole, so a source may exceed its target by less
+    than that text, and all is done by DataFrame functions.
+
+    Rows of which nothing is taken are left out: those without words, and those behind the cut of a source whose target
+    is below its size. Rows that repeat an id or are equal, null ids and null sources are all mixed as :func:`mix` says.
+    Texts stay where they are: a row finds its share by its source. Columns may have any names; an empty table gives an
+    empty one."""
+    schema = docs.schema
+    sizes = docs.select(*_source("source"), _turn("doc_id", "text", seed).alias("turn"), _size("text").alias("size"))
+    known = shares(materialize(sizes, "sizes"), weights, max_epochs)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *_source("source"), _turn("doc_id", "text", seed).alias("turn")).where(F.col("row.text").rlike(WORDS)).join(known, ["s0", "s1"])
+    none, full, cut = (F.array().cast("array<long>"), F.array(F.lit(None).cast("long")), F.array("part"))
+    last = full if not cut_last else F.when(F.col("part") < F.regexp_count(F.col("row.text"), F.lit(WORDS)), cut).otherwise(full)
+    last = F.when(F.col("turn") < F.col("cut"), full).when((F.col("turn") == F.col("cut")) & (F.col("part") > 0), last).otherwise(none)
+    rows = rows.select("row", F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("whole").cast("int")), last)).alias("words"))
     if not cut_last:
-        share = share.withColumn("part", F.when(F.col("part") > 0, F.col("size")).otherwise(F.col("part")))
-    full = F.array_repeat(F.lit(None).cast("long"), F.col("whole").cast("int"))
-    rest = F.when(F.col("part") == 0, F.array().cast("array<long>")).when(F.col("part") == F.col("size"), F.array(F.lit(None).cast("long"))).otherwise(F.array("part"))
-    share = share.select("doc_id", F.concat(full, rest).alias("turns"))
-    rows = one.join(share, one["doc_id"].eqNullSafe(share["doc_id"])).drop(share["doc_id"]).withColumn("mix_words", F.explode("turns")).drop("turns")
-    schema = one.schema
-    text = in_arrow(rows.select(*schema.names, "mix_words"), _prefixes, schema)
-    return text.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else text
+        return rows.select("row.*")
+    rows = in_arrow(rows.select("row", F.col("row.text").alias("text"), "words"), _prefixes, StructType([StructField("row", schema), StructField("text", StringType())]))
+    values = {c: F.col("row")[c] for c in schema.names} | {"text": F.col("text")}
+    if "n_chars" in schema.names:
+        values["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(schema["n_chars"].dataType)
+    return rows.select(*(values[c].alias(c) for c in schema.names))

@@ -128,6 +128,17 @@ def _normal(model: Model):
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the rows of :func:`_normal`, read one after the other; nothing for none."""
+    total = None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one = [np.frombuffer(batch.column(c)[row].as_py()) for c in ("zz", "zy")]
+            total = one if total is None else [a + b for a, b in zip(total, one, strict=True)]
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in total], names=["zz", "zy"])
+
+
 def _raw(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,13 +163,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(measured: DataFrame, labels: DataFrame, ridge: float = 1e-3, seed: int = 7) -> Model:
-    """Fit on every row of ``labels`` (doc_id, y from 0 to 1) that has a document. Random cosines approximate a Gaussian
-    kernel over standardised statistics. At most ``PARTS`` tasks each sum normal equations of their rows, for two folds
-    drawn by the id; the driver adds and solves them. Calibration pools violators among ``BINS`` bins of the scores that
+    """Fit on every row of ``labels`` (doc_id, y from 0 to 1) that has a document; of rows that repeat an id each is
+    learnt from. Random cosines approximate a Gaussian kernel over standardised statistics. Every task sums the normal
+    equations of its rows, for two folds drawn by the id; ``PARTS`` tasks add those of all others, and the driver adds
+    and solves theirs. Calibration pools violators among ``BINS`` bins of the scores that
     each fold's rows get from the other fold. What the driver gets depends on ``PARTS``, ``FEATURES`` and ``BINS`` only.
     Without labelled rows the score is 0.5 for all, with one class its rate."""
     rows = labels.groupBy("doc_id").agg(F.avg("y").alias("y")).where("y is not null")
-    rows = measured.dropDuplicates(["doc_id"]).join(rows, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    rows = measured.join(rows, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     rows = materialize(rows.select("doc_id", "x", F.col("y").cast("double").alias("y"), "fold"), "training")
     moments = rows.select("y", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.avg("y").alias("rate"), F.min("y").alias("lo"), F.max("y").alias("hi"), F.count("*").alias("n")).orderBy("i").collect()
     empty = np.zeros(0)
@@ -167,9 +179,9 @@ def fit(measured: DataFrame, labels: DataFrame, ridge: float = 1e-3, seed: int =
     mean, scale = np.array([r["m"] for r in moments]), np.array([max(r["s"], 1e-6) for r in moments])
     rng, d = np.random.default_rng(seed), len(mean)
     model = Model(mean, scale, rng.normal(size=(d, FEATURES)) / np.sqrt(2 * d), rng.uniform(0, 2 * np.pi, FEATURES), empty, empty, empty, moments[0]["rate"])
-    sums = in_arrow(rows.coalesce(PARTS), _normal(model), "zz binary, zy binary").toLocalIterator()
+    sums = in_arrow(rows, _normal(model), "zz binary, zy binary").repartition(PARTS)
     zz, zy = np.zeros((2, FEATURES + 1, FEATURES + 1)), np.zeros((2, FEATURES + 1))
-    for a, b in sums:
+    for a, b in in_arrow(sums, _added, "zz binary, zy binary").toLocalIterator():
         zz += np.frombuffer(a).reshape(zz.shape)
         zy += np.frombuffer(b).reshape(zy.shape)
     n = moments[0]["n"]
@@ -195,12 +207,33 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+    return rows.where(~held_out() & F.col("doc_id").isNotNull())
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Labels are read only where crc32 of the id as text modulo 4
-    isn't 2. Null and empty texts are scored like any other; rows with equal ids each get their own score, and one of
-    them is learnt from; a null id is never learnt from and isn't held out. Empty tables give empty ones. Columns other
+    isn't 2. Null and empty texts are scored like any other; rows with equal ids each get their own score and are
+    each learnt from; a null id is never learnt from and isn't held out. Empty tables give empty ones. Columns other
     than the id and the text are never read."""
     measured = materialize(features(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(~held_out() & F.col("doc_id").isNotNull())
-    scored = score(measured, fit(measured, known))
+    scored = score(measured, fit(measured, _known(labels)))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` predicts as 1, with all their columns. Each row is scored where it lies,
+    so rows that share an id, or have none, are judged by their own texts, and no text is shuffled: the statistics of
+    whole texts are taken twice, once to learn and once to judge. Null and empty texts are judged like any other; rows
+    may repeat; columns may have any names. An empty table gives an empty one."""
+    model = fit(materialize(features(docs, id_col, text_col), "statistics"), _known(labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = tokens.plain(batch.column(text_col))
+            for at, to in tokens.runs(column):
+                good = model.score(statistics(column, at, to)) >= threshold
+                yield batch.slice(at, to - at).filter(pa.array(good))
+
+    return in_arrow(docs, run, docs.schema)

@@ -67,9 +67,11 @@ def test_near_duplicates(spark, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    """Texts of one template share most buckets; links between others than a bucket's first centre must be found."""
-    monkeypatch.setattr(near_duplicates, "CENTRES", 2)
+@pytest.mark.parametrize("block", [3, 512])
+def test_crowded_stars_lose_no_link(spark, monkeypatch, block):
+    """Texts of one template share most buckets; links between others than a star's centre, and between blocks of a
+    star, must be found."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
     rng = np.random.default_rng(9)
     shared = [f"t{x}" for x in range(120)]
     texts = []
@@ -86,6 +88,26 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == components(texts, 2)[1]
 
 
+def thue_morse(n, a="a", b="b"):
+    return [(a, b)[bin(i).count("1") & 1] for i in range(n)]
+
+
+def test_words_in_a_regular_order_stay_apart(spark):
+    """Hashes that add letters or words times powers collide on these by construction."""
+    one, two = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    texts = [one, two, *(" ".join(["same"] * 49 + [x]) for x in (one, two)), *(" ".join(thue_morse(1024, *x)) for x in (("u", "v"), ("v", "u")))]
+    got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(documents(spark, texts[:4]), words=2).collect()}
+    assert [got[i]["component_id"] for i in range(4)] == components(texts[:4], 2)[1] == [0, 1, 2, 3]
+    cut = {r["doc_id"]: r for r in substrings.remove_repeats(documents(spark, texts)).collect()}
+    assert [cut[i]["n_removed"] for i in range(4)] == [0, 0, 0, 0]
+    words = [t.split() for t in texts]
+    gone, first = set(), {tuple(words[4][k : k + 50]) for k in range(975)}
+    for k in range(975):
+        if tuple(words[5][k : k + 50]) in first:
+            gone |= set(range(k, k + 50))
+    assert cut[5]["n_removed"] == len(gone)
+
+
 def test_signatures_fill_every_bin():
     sig = near_duplicates.signatures(np.array([0, 2]), np.array([5, 1 << 63], np.uint64), 3)
     assert (sig[0] == 5).all() and (sig[2] == 1 << 63).all() and (sig[1] == np.iinfo(np.uint64).max).all()
@@ -98,6 +120,8 @@ def test_repeats(spark):
     for k in range(8):
         texts.append(" ".join(word(30 + k) + shared[k : 52 + k * 4] + word(k)))
     texts += [" ".join(shared), " ".join(shared), " ".join(shared[:49]), " ".join(shared[10:60])]
+    for k in range(5):  # runs of few words, which make each place a smallest window
+        texts.append(" ".join(word(k) + ["is", "so", "it"][: 2 + k % 2] * (40 + 7 * k) + word(3) + ["a"] * (60 + k) + word(20) + ["is", "so"] * (24 + k)))
     first = {}
     words = [(t or "").encode().split() for t in texts]
     for i, w in enumerate(words):
@@ -318,7 +342,7 @@ def test_pipeline_mix_cuts_no_text(spark):
 
 def plain_corpus(docs):
     """Stages 2 to 4 in plain Python: [doc_id, text] of the mix of ``docs`` (doc_id, text, source), which are in order."""
-    comp = components([t for _, t, _ in docs], 5)[1]
+    comp = components([t for _, t, _ in docs], 2)[1]
     docs = [d for i, d in enumerate(docs) if comp[i] == i]
     words, first, kept = [d[1].encode().split() for d in docs], {}, []
     for i, w in enumerate(words):
@@ -364,3 +388,37 @@ def test_pipeline_run_against_plain_python(spark):
         packs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for p in map(sorted, packs.values()):
         assert [o for o, _ in p] == [0, *itertools.accumulate(n for _, n in p[:-1])] and sum(n for _, n in p) <= 1024
+
+
+def odd_documents(spark):
+    """Null ids, texts and sources, repeated ids with other texts, equal rows, and extra columns with clashing names."""
+    good = [r["text"] for r in table(spark, "documents").orderBy("doc_id").limit(60).collect()]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(good)]
+    rows += [(None, good[0] + " and more words", "en", None, 1), (None, "other words without an id", "en", "b", 1), (None, None, None, None, None), (7, "another text of the same id", "en", "a", 1), (8, good[8], "en", "a", len(good[8])), (900, None, "en", "a", None), (901, "", "en", "a", 0), (902, " \t ", "en", "a", 3), (903, "w " * 400_000, "en", "c", 800_000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    return docs.withColumns({c: F.lit(k) for k, c in enumerate(("id", "t", "turn", "turns", "words", "row", "cut", "part", "whole", "size", "s0", "other", "k0", "rep", "h", "places"))})
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_odd_rows(spark, k):
+    docs = odd_documents(spark)
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, SMALL)
+    assert out.columns == docs.columns and stage(spark, docs.limit(0), SMALL).count() == 0
+    rows, got = [(r["doc_id"], r["text"]) for r in docs.collect()], Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert set(got) <= set(rows) or name == "substring_dedup"
+    if name == "quality_classifier":
+        model = {(r["doc_id"], r["predicted"]) for r in quality.classify(docs, table(spark, "labels")).collect()}
+        assert all((d, 1) in model for d, _ in got)
+    if name == "minhash_near_dedup":
+        assert {t for d, t in got if d is None} == {t for d, t in rows if d is None} and got[(8, dict(rows)[8])] <= 1
+        assert all(got[(d, t)] == 1 for d, t in rows if d in (900, 901, 902, 903) or d == 7 and (7, "another text of the same id") in got)
+    if name == "substring_dedup":
+        assert all(got[(d, t)] == rows.count((d, t)) for d, t in rows if d is None or d in (900, 901, 902, 903))
+        assert all(any(d == x and set((t or "").split()) <= set((y or "").split()) for x, y in rows) for d, t in got)
+    if name == "source_mix":
+        sized = {(r["doc_id"], r["size"]): r for r in mixing.mix(docs).collect()}
+        for d, t in set(rows):
+            n = len((t or "").encode().split())
+            r = sized[(d, n)]
+            assert got[(d, t)] == rows.count((d, t)) * (r["whole"] + (r["part"] > 0)) * (n > 0)

@@ -25,7 +25,9 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
 
 def anchors(w: tokens.Words, half: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the windows of ``half`` words that represent the first level: those that are the smallest
-    of some half + 1 successive windows of their row, so each window of 2 * half words holds one or more."""
+    of some half + 1 successive windows of their row, so each window of 2 * half words holds one or more. Where a few words
+    come again and again, every turn of them is a smallest one; of those that follow each other in a stretch of half + 1
+    words the first and the last are enough, as no run of half + 1 places has one between them and neither of them."""
     rows = np.diff(w.first)
     h = tokens.windows(w.hash, half)
     if len(h) < half + 1:
@@ -37,6 +39,11 @@ def anchors(w: tokens.Words, half: int) -> tuple[np.ndarray, np.ndarray]:
     high = _sliding(padded, half + 1, np.maximum)[: len(h)]
     at = np.flatnonzero((high == h) & (h > 0))
     at = at[room[at] >= half]
+    row, cell = w.row[at], (at - w.first[w.row[at]]) // (half + 1)
+    same = (h[at][1:] == h[at][:-1]) & (row[1:] == row[:-1]) & (cell[1:] == cell[:-1])
+    inner = np.zeros(len(at), bool)
+    inner[1:-1] = same[1:] & same[:-1]
+    at = at[~inner]
     return at, h[at]
 
 

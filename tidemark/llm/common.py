@@ -144,7 +144,25 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+def freed(function):
+    """``function`` over a task's batches; then the worker, which serves other tasks, gives its free memory back."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(freed(function), schema)

@@ -16,7 +16,7 @@ from .components import connected_components
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 _U = np.uint64
 
 

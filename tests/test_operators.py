@@ -84,6 +84,35 @@ def test_ranges_nested(spark):
     assert [(x["start"], x["end"]) for x in changes.coalesce_ranges(r).orderBy("start").collect()] == [(0, 110), (120, 130)]
 
 
+def test_ranges_over_many_buckets(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = [(u, t, t + draw.randrange(1, 60)) for u in "ab" for t in (draw.randrange(-3000, 3000) for _ in range(150))] + [("a", -2500, -1200), ("c", 0, 5000), ("c", 4, 5)]
+    want = []
+    for u, s, e in sorted(rows):
+        if want and want[-1][0] == u and s <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([u, s, e])
+    found = changes.coalesce_ranges(spark.createDataFrame(rows, "uuid string, start long, end long"), 6).orderBy("uuid", "start").collect()
+    assert [list(r) for r in found] == want
+
+
+@pytest.mark.parametrize("pw", [61, 62, 63])
+def test_coarsest_changes(spark, pw):
+    log = points(spark, [("a", -5, 1), ("a", 7, 1)]).withColumn("version_major", F.lit(12).cast("long"))
+    gone = spark.createDataFrame([], "uuid string, start long, end long, version_major long")
+    assert [(r["start"], r["end"]) for r in changes.changes(log, gone, 11, None, pw).collect()] == [(-(1 << pw), min(1 << pw, (1 << 63) - 1))]
+
+
+def test_grid_of_any_size(spark):
+    u = spark.createDataFrame([("a",)], "uuid string")
+    for n in (1, 3, 4, 5, 16, 17, 63, 65):
+        assert sorted(r["time"] for r in windows.grid(u, 10, 7, n, step=4).collect()) == [10 + 7 * i for i in range(n)]
+    assert windows.grid(u, 0, 1, 5_000_000).count() == 5_000_000
+
+
 def test_csv(spark):
     p = points(spark, [("a", 0, 1), ("a", 0, 2), ("b", 0, 3), ("b", 10**9, 4)])
     frame = merged.csv_raw(p, [("a", "x"), ("b", "y")])

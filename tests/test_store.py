@@ -84,13 +84,92 @@ def test_vacuum(engine, tmp_path):
 def test_points_without_manifest_stay_hidden(engine):
     engine.create("u", "c")
     engine.insert("u", [(1, 1.0)])
-    lost = engine.store.table("points").withColumn("batch", F.lit(2).cast("long")).collect()
+    lost = engine.store.table("points").withColumn("batch", F.lit("lost")).collect()
     engine.store._append("points", engine.spark.createDataFrame(lost, engine.store.table("points").schema))
     assert engine.raw_values(["u"], 0, 10).count() == 1
     engine.insert("u", [(2, 2.0)])
     assert [r["time"] for r in engine.raw_values(["u"], 0, 10).collect()] == [1, 2]
 
 
+def test_order_of_arrival_over_many_partitions(engine, spark):
+    engine.create("u", "c")
+    many = spark.range(300, numPartitions=300).select(F.lit("u").alias("uuid"), F.lit(5).cast("long").alias("time"), F.col("id").cast("double").alias("value"))
+    engine.insert_frame(many)
+    engine.insert("u", [(5, 1000.0)])
+    found = engine.raw_values(["u"], 0, 10)
+    assert found.select("seq").distinct().count() == 301
+    assert [r["value"] for r in found.collect()] == [*map(float, range(300)), 1000.0]
+    assert engine.nearest("u", 6, True) == (5, 1000.0) and engine.nearest("u", 5, False) == (5, 0.0)
+    assert engine.buffered(["u"]).count() == 301
+
+
+def test_a_commit_without_its_successor_costs_no_version(engine):
+    """What follows a crash right after the commit: the version is known from the commit itself."""
+    engine.create("u", "c")
+    engine.insert("u", [(1, 1.0)])
+    engine.store._commit(engine.store._waiting())
+    assert engine.version("u") == (11, 0)
+    engine.insert("u", [(2, 2.0)])
+    assert engine.flush("u") == (12, 0) and engine.raw_values(["u"], 0, 9, version=11).count() == 1
+
+
+def test_bulk_calls_and_modes(engine, spark, tmp_path):
+    rows = [(f"u{i}", "c" if i % 2 else "d/x", {"k": str(i)}, {}) for i in range(6)]
+    schema = "uuid string, collection string, tags map<string,string>, annotations map<string,string>"
+    engine.store.create_all(spark.createDataFrame(rows, schema))
+    engine.annotate_prefix("d/", {"a": "1"})
+    assert engine.lookup_streams(annotations={"a": "1"}).count() == 3
+    engine.annotate_prefix("d/", {"a": None, "b": "2"})
+    assert engine.stream_info("u0")["annotations"] == {"b": "2"} and engine.stream_info("u0")["annotation_version"] == 3
+    assert engine.rename_prefix("d/", "e/") == 3 and engine.obliterate_prefix("e/") == 3
+    for bad, want in (([("u1", "q", {}, {})], 406), ([("u0", "q", {}, {})], 429), ([("n", "c", {"k": "1"}, {})], 406), ([("n", "", {}, {})], 407), ([("n", "q", {"K": "1"}, {})], 408), ([("n", "q", {"k": ""}, {})], 409), ([("n", "q", {}, {}), ("n", "r", {}, {})], 406)):
+        assert code(lambda bad=bad: engine.store.create_all(spark.createDataFrame(bad, schema))) == want
+    assert code(engine.store.create_tables) == 421
+    engine.store.create_tables("ensure")
+    assert engine.lookup_streams().count() == 3
+    engine.store.create_tables("overwrite")
+    assert engine.lookup_streams().count() == 0
+
+
+def test_copy_with_delete(engine):
+    for u in ("u", "w"):
+        engine.create(u, u)
+    engine.insert("u", [(t, float(t)) for t in range(10)])
+    engine.insert("w", [(t, -1.0) for t in range(5, 20)])
+    engine.copy("u", "w", 3, 9, delete=True)
+    assert [(r["time"], r["value"]) for r in engine.raw_values(["w"], 0, 30).collect()] == [(t, float(t)) for t in range(3, 9)] + [(t, -1.0) for t in range(9, 20)]
+
+
+def test_windows_from_stored_partials(engine, spark):
+    engine.create("u", "c")
+    engine.create("w", "d")
+    engine.insert("u", [(t, float(t % 17)) for t in range(0, 4000, 3)])
+    engine.flush("u")
+    engine.build_rollup((2, 6, 9))
+    def same():
+        for pw in (1, 3, 6, 11):
+            a = engine.aligned_windows(["u", "w"], 0, 1 << 13, pw)
+            b = windows.aligned_windows(engine.store.snapshot(), 0, 1 << 13, pw).orderBy("uuid", "time")
+            assert [tuple(r)[:3] + tuple(r)[4:] for r in a.collect()] == [tuple(r)[:3] + tuple(r)[4:] for r in b.collect()]
+    same()
+    assert all("/partials/" in f for f in engine.aligned_windows(["u"], 0, 1 << 13, 9).inputFiles())
+    engine.insert("u", [(100, 500.0)])
+    engine.insert("w", [(7, 1.0)])
+    same()
+    engine.delete("u", 300, 700)
+    same()
+
+
+def test_csv_files_are_ordered(engine, spark, tmp_path):
+    from tidemark.operators import merged
+
+    engine.create("u", "c")
+    engine.insert("u", [(t, float(t)) for t in range(500)])
+    merged.write_csv(engine.csv([("u", "u")], 0, 1000), str(tmp_path / "csv"))
+    lines = [x for p in sorted((tmp_path / "csv").glob("*.csv")) for x in p.read_text().splitlines() if not x.startswith("Timestamp")]
+    assert [int(x.split(",")[0]) for x in lines] == list(range(500))
+
+
 def test_stream_and_rollup(engine, spark, tmp_path):
     engine.create("u", "c")
     src = tmp_path / "in"

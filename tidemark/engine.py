@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .errors import EngineError
 from .functions import validate
 from .operators import merged, metadata, nearest, raw, windows
+from .plans import rollup
 from .sources.store import Store
 
 
@@ -31,8 +32,17 @@ class Engine:
         return raw.raw_values(self._points(uuids, version, start, end), start, end)
 
     def aligned_windows(self, uuids: list[str], start: int, end: int, pw: int, version: int | None = None) -> DataFrame:
+        """Windows of the latest version come from stored partials where there are any (:meth:`build_rollup`), those of a
+        past version from points."""
         start, end = validate.aligned_range(start, end, pw)
-        return windows.aligned_windows(self._points(uuids, version, start, end), start, end, pw).orderBy("uuid", "time")
+        points = self._points(uuids, version, start, end)
+        stored = None if version else self.store.partials(uuids, start, end, pw)
+        if stored:
+            return windows.aligned_from(*stored, start, end, pw).orderBy("uuid", "time")
+        return windows.aligned_windows(points, start, end, pw).orderBy("uuid", "time")
+
+    def build_rollup(self, levels: tuple[int, ...] = rollup.LEVELS) -> None:
+        self.store.build_rollup(levels)
 
     def windows(self, uuids: list[str], start: int, end: int, width: int, depth: int = 0, version: int | None = None) -> DataFrame:
         validate.window_range(start, end, width, depth)
@@ -85,6 +95,10 @@ class Engine:
     def insert_frame(self, points: DataFrame) -> None:
         self.store.insert(points)
 
+    def buffered(self, uuids: list[str]) -> DataFrame:
+        """Points that no version holds yet."""
+        return self.store.buffer().where(F.col("uuid").isin(uuids))
+
     def flush(self, uuid: str) -> tuple[int, int]:
         self.store.stream(uuid)
         self.store.flush([uuid])
@@ -94,9 +108,24 @@ class Engine:
         self.store.delete(uuid, start, end)
         return self.version(uuid)
 
-    def copy(self, source: str, target: str, start: int, end: int) -> None:
-        """Points of one stream inserted into another."""
-        self.store.insert(self.raw_values([source], start, end).withColumn("uuid", F.lit(target)), limit=None)
+    def copy(self, source: str, target: str, start: int, end: int, delete: bool = False) -> None:
+        """Points of one stream inserted into another; with ``delete`` what the target has in that range goes first."""
+        if delete:
+            self.store.delete(target, start, end)
+        points = raw.raw_values(self._points([source], None, start, end), start, end, ordered=False)
+        self.store.insert(points.withColumn("uuid", F.lit(target)), limit=None)
+
+    def rename_prefix(self, old: str, new: str) -> int:
+        return self.store.rename_prefix(old, new)
+
+    def obliterate_prefix(self, prefix: str) -> int:
+        return self.store.obliterate(prefix=prefix)
+
+    def annotate_prefix(self, prefix: str, updates: dict) -> None:
+        self.store.annotate_prefix(prefix, updates)
+
+    def vacuum(self, target: str) -> None:
+        self.store.vacuum(target)
 
     def version(self, uuid: str) -> tuple[int, int]:
         row = self.store.versions().where(F.col("uuid") == uuid).first()

@@ -39,3 +39,28 @@ def tag_string(tags: Column | str) -> Column:
     """Sorted keys and values, each followed by a zero character."""
     entries = F.array_sort(F.map_entries(tags))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("\0"), e["value"], F.lit("\0"))), "")
+
+
+def bucket_index(time: Column | str, start: Column | int, pw: int, fan: int = 64) -> Column:
+    """Which of the ``fan`` buckets of 2 ** pw from ``start`` holds ``time``; times outside count to the nearest one."""
+    time, start = F.col(time) if isinstance(time, str) else time, F.lit(start) if isinstance(start, int) else start
+    return F.least(F.greatest(F.shiftright(time - start, pw), F.lit(0)), F.lit(fan - 1)).cast("int")
+
+
+def bucket_bounds(index: Column | str, start: Column | int, pw: int) -> tuple[Column, Column]:
+    """Start and end of bucket ``index``."""
+    index, start = F.col(index) if isinstance(index, str) else index, F.lit(start) if isinstance(start, int) else start
+    low = start + F.shiftleft(index.cast("long"), pw)
+    return low, low + F.lit(1 << pw)
+
+
+def uuid_text(raw: Column | str) -> Column:
+    """The text form of 16 bytes: lower-case hex with hyphens."""
+    digits = F.lower(F.hex(raw))
+    return F.concat_ws("-", *(F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def uuid_bytes(text: Column | str) -> Column:
+    """The 16 bytes of a text form; null if it isn't one."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(r"^(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"), F.unhex(F.replace(text, F.lit("-"), F.lit(""))))

@@ -1,9 +1,12 @@
-"""Checks of arguments, in plain Python, before a plan is built."""
+"""Checks of arguments, in plain Python before a plan is built, and of tables of descriptors as column expressions."""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..errors import EngineError
 from ..schema import MAX_TIME, MIN_TIME
 
@@ -87,3 +90,33 @@ def predicates(values: dict[str, str | None]) -> None:
         key(k)
         if v is not None:
             annotation_value(v)
+
+
+def updates(values: dict[str, str | None]) -> None:
+    for k, v in values.items():
+        key(k)
+        if v is not None:
+            annotation_value(v)
+
+
+def _text(col: Column, least: int) -> Column:
+    return F.octet_length(col).between(least, VALUE_BYTES) & (F.instr(col, "\0") == 0)
+
+
+def key_ok(col: Column | str) -> Column:
+    """Whether a text may be a key; null may not."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(col.rlike(f"^{KEY.pattern[:-2]}\\z") & (F.octet_length(col) <= KEY_BYTES), F.lit(False))
+
+
+def collection_code(col: Column | str) -> Column:
+    """407 for a text that can't be a collection, or null."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(~F.coalesce(_text(col, 1), F.lit(False)), 407)
+
+
+def descriptor_code(collection: str, tags: str, annotations: str) -> Column:
+    """The code for which a stream's descriptor is refused, or null."""
+    keys = F.forall(F.map_keys(tags), key_ok) & F.forall(F.map_keys(annotations), key_ok)
+    good = F.forall(F.map_values(tags), lambda v: F.coalesce(_text(v, 1), F.lit(False))) & F.forall(F.map_values(annotations), lambda v: F.coalesce(F.octet_length(v) <= VALUE_BYTES, F.lit(False)))
+    return F.coalesce(collection_code(collection), F.when(~keys, 408), F.when(~good, 409))

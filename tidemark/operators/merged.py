@@ -44,4 +44,6 @@ def csv_windows(stats: DataFrame, streams: list[tuple[str, str]], version: int |
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    frame.coalesce(1).write.option("header", True).csv(path)
+    """CSV files with headings. A frame of :func:`csv_raw` or :func:`csv_windows` is ordered by ranges of time, each of
+    which becomes one file; their names are in the order of time."""
+    frame.write.option("header", True).csv(path)

@@ -29,7 +29,7 @@ def nearest_join(probes: DataFrame, points: DataFrame, backward: bool, pw: int =
     Points and probes are ordered together within buckets of 2 ** pw of a stream, so one long stream is many tasks;
     what a bucket's probes lack comes from the nearest bucket on that side, found among one row for each bucket."""
     names = [c for c in probes.columns if c not in ("uuid", "probe_time")]
-    left = probes.select("uuid", F.col("probe_time").alias("time"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("struct<time:bigint,value:double>").alias("p"), F.struct("probe_time", *names).alias("probe"))
+    left = probes.select("uuid", F.col("probe_time").alias("time"), F.lit(0).alias("kind"), F.lit(None).cast(points.schema["seq"].dataType).alias("seq"), F.lit(None).cast("struct<time:bigint,value:double>").alias("p"), F.struct("probe_time", *names).alias("probe"))
     right = points.select("uuid", "time", F.lit(1).alias("kind"), "seq", F.struct("time", "value").alias("p"), F.lit(None).cast(left.schema["probe"].dataType).alias("probe"))
     both = left.unionByName(right).withColumn("bucket", align("time", pw))
     within = Window.partitionBy("uuid", "bucket").orderBy("time", "kind", "seq")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions import validate
 from ..functions.time import align, window_start
-from ..schema import MAX_GRID, NODE_WIDTHS
+from ..schema import NODE_WIDTHS
 
 
 def partials(points: DataFrame, pw: int) -> DataFrame:
@@ -47,13 +47,17 @@ def node_width(depth: int) -> int:
     return next((p for p in NODE_WIDTHS if p >= depth), NODE_WIDTHS[-1])
 
 
-def grid(streams: DataFrame, start: int, width: int, n: int) -> DataFrame:
-    """uuid and time of n windows for each stream, made in two steps so that no long array is held."""
-    step = 1024
-    rows = streams.select("uuid", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // step))).alias("hi"))
-    rows = rows.select("uuid", "hi", F.explode(F.sequence(F.lit(0), F.lit(min(n, step) - 1))).alias("lo"))
-    rows = rows.select("uuid", (F.col("hi").cast("long") * step + F.col("lo")).alias("i"))
-    return rows.where(F.col("i") < n).select("uuid", (F.lit(start) + F.col("i") * width).alias("time"))
+def grid(streams: DataFrame, start: int, width: int, n: int, step: int = 4096) -> DataFrame:
+    """uuid and time of n windows for each stream, whatever n: each level makes at most ``step`` rows of one, so no long
+    array is held, and leaves none that lie behind the end."""
+    rows, unit = streams.select("uuid", F.lit(0).cast("long").alias("i")), 1
+    while unit * step < n:
+        unit *= step
+    while unit:
+        count = F.least(F.lit(step), F.expr(f"({n}L - i + {unit - 1}L) div {unit}L"))  # of the rows that start before the end
+        rows = rows.select("uuid", "i", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k")).select("uuid", (F.col("i") + F.col("k") * unit).alias("i"))
+        unit //= step
+    return rows.select("uuid", (F.lit(start) + F.col("i") * width).alias("time"))
 
 
 def windows(points: DataFrame, start: int, end: int, width: int, depth: int = 0, streams: DataFrame | None = None) -> DataFrame:
@@ -61,8 +65,6 @@ def windows(points: DataFrame, start: int, end: int, width: int, depth: int = 0,
     the start of its node of at least that width. ``streams`` (uuid) defaults to those in ``points``."""
     end = validate.window_range(start, end, width, depth)
     n = (end - start) // width
-    if n > MAX_GRID:
-        raise EngineError(421, f"{n} windows")
     inside = points.where((F.col("time") >= start) & (F.col("time") < end))
     if depth:
         inside = inside.withColumn("time", F.greatest(align("time", node_width(depth)), F.lit(start)))

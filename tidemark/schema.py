@@ -10,4 +10,3 @@ MIN_TIME, MAX_TIME = -(16 << 56), 48 << 56
 CREATED_VERSION = 10
 MAX_INSERT, BUFFER_LIMIT = 25_000, 32_768
 NODE_WIDTHS = (0, 2, 8, 14, 20, 26, 32, 38, 44, 50, 56)
-MAX_GRID = 10**8

@@ -271,9 +271,47 @@ def test_constants_of_all_shapes_and_groups(spark):
 def test_wrapper_has_optional_and_repeated_groups():
     seq = lambda h: webtext.fold(webtext.walk(webtext.stream(h))[0])[0]
     wrapper = [[x, False] for x in seq("<ul><li>a</li><li>b</li></ul><p>x</p>")]
-    wrapper = webtext.align(wrapper, seq("<ul><li>a</li></ul><b>n</b><p>x</p>"))
-    assert [n for n, o in wrapper if isinstance(n, tuple)] == [("+", "<li >", "#", "</li>")]
-    assert [n for n, o in wrapper if o] == ["<b >", "#", "</b>"]
+    wrapper = webtext.align(wrapper, [[x, False] for x in seq("<ul><li>a</li></ul><b>n</b><p>x</p>")])
+    assert [n for n, o in wrapper if isinstance(n, tuple)] == [("+", "<li >", "#li", "</li>")]
+    assert [n for n, o in wrapper if o] == ["<b >", "#b", "</b>"]
+
+
+def test_article_text_that_labels_once_lost(spark):
+    """Class names with other words in them, an article's own header, several articles, teasers and menus without names."""
+    body = [f"words of paragraph {i} that is long enough to count " * 3 for i in range(5)]
+    pages = [
+        (0, "http://h.x/0", f'<main><h1>T</h1><p>{body[0]}</p><section class="related-work"><p>Earlier work</p></section></main>'),
+        (1, "http://h.x/1", f'<article><div class="article-header"><h1>Own title</h1></div><p>{body[1]}</p></article>'),
+        (2, "http://h.x/2", f"<article><header><h1>Kept</h1></header><p>{body[2]}</p></article>"),
+        (3, "http://h.x/3", f"<article><p>First {body[3]}</p></article><article><p>Second {body[3]}</p></article><article>tease</article>"),
+        (4, "http://h.x/4", f'<div><a href="1">one</a><a href="2">two</a><a href="3">three</a></div><p>{body[4]}</p><div class="user-comments"><p>me too</p></div>'),
+    ]
+    rows = {r["page_id"]: r["text"] for r in webtext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    body = [x.strip() for x in body]
+    assert rows == {0: f"T\n{body[0]}\nEarlier work", 1: f"Own title\n{body[1]}", 2: f"Kept\n{body[2]}", 3: f"First {body[3]}\nSecond {body[3]}", 4: body[4]}
+
+
+@pytest.mark.parametrize("fan", [2, 32])
+def test_generated_site_against_its_template(spark, monkeypatch, fan):
+    """Pages of a generated site, with optional parts and repeated groups in the template, give back what was put in,
+    however the streams are dealt; texts, hosts and rows that repeat make no difference."""
+    monkeypatch.setattr(webtext, "wrappers", (lambda f: lambda pages: f(pages, fan))(webtext.wrappers))
+    rng, pages, want = np.random.default_rng(8), [], {}
+    for i in range(80):
+        host = "hot" if i % 2 else f"h{i % 3}"
+        paras = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, rng.integers(3, 30))) for _ in range(rng.integers(1, 6))]
+        extra = "<section><h2>In brief</h2></section>" if rng.random() < 0.5 else ""
+        units = "".join(f"<li><i>{rng.integers(10**6)}</i> <b>item</b></li>" for _ in range(rng.integers(2, 5)))
+        html = f"<body><div>Site of {host}</div><div>All rights</div>{extra}<h1>Title {i}</h1>" + "".join(f"<p>{p}</p>" for p in paras) + f"<ul>{units}</ul><div>Made with care</div></body>"
+        pages.append((i, f"http://{host}.x/{i}", html))
+        want[i] = [f"Title {i}", *paras]
+    pages += [(100, None, None), (101, "http://hot.x/empty", ""), (102, "http://hot.x/long", "<p>" + "long " * 400_000), (None, "http://q.x", "<p>no id")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "shape", "part", "slot", "text")})
+    rows = {r["page_id"]: r["text"] for r in webtext.extract(frame).collect()}
+    for i, lines in want.items():
+        assert [x for x in rows[i].split("\n") if "item" not in x and x.split(" ")[0].strip("0123456789")] == lines
+    assert rows[100] == rows[101] == "" and len(rows[102]) == 5 * 400_000 - 1 and rows[None] == "no id"
+    assert webtext.extract(frame.limit(0)).count() == 0
 
 
 def test_archive(spark):

@@ -219,7 +219,12 @@ def test_fingerprints(spark):
     assert rows[11]["near_next"] == 1.0 and rows[13]["near_next"] == 0.0
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize(("most", "block"), [(4096, 4096), (16, 4096), (16, 7)])
+def test_vectors(spark, monkeypatch, most, block):
+    """In one and in two levels of pivots, and with lists in blocks; repeated and null ids, extra columns, no rows."""
+    monkeypatch.setattr(vectors, "MOST_PIVOTS", most)
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "CROWD", 10 * block)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
     many = [list(map(float, b + s * rng.normal(size=16))) for b in base for s in (0, 0.05, 0.1, 0.2, 0.3, 0.4)]
@@ -233,6 +238,11 @@ def test_vectors(spark):
     assert all(got[i] <= want.get(i, 0) for i in range(len(many)))
     assert sum(got.values()) >= 0.9 * links.sum()
     assert all(got[i] == 0 for i in range(len(many)) if i not in want)
+    names = ("rep", "v", "copies", "pivots", "pivot", "block", "cell", "c", "n")
+    odd = spark.createDataFrame([(None, many[0]), (1, many[0]), (1, many[0]), (1, many[7]), (3, None)], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in names})
+    rows = vectors.near_vectors(odd).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in rows) == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (3, 0, 3, True)]
+    assert vectors.near_vectors(odd.limit(0)).count() == 0
 
 
 PAGE = """<html><head><title>t</title></head><body><header>Top</header><nav><a>x</a></nav><div class="cookie-notice">ok</div>

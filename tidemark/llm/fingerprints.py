@@ -56,11 +56,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     first = edge[1]
     bounds = sorted(set(edge[0] or []) - {first["k"]} if first else [])
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    # first rows of all ranges by (id, tie): a bound is an id of the table, so only ties need another look
-    firsts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>")
-    part = F.size(F.filter(firsts, lambda b: b <= key))
+    # a range begins at each bound, which is an id of the table; the range of an id is found by binary search
+    firsts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>") if bounds else F.array().cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(firsts, at + step - 1) <= key, at + step).otherwise(at))
     placed = rows.withColumn("k", key).withColumn("part", part)
-    halo = F.when(F.array_contains(firsts, F.col("k")), F.array(F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("role")))).otherwise(F.array().cast("array<struct<part:int,role:int>>"))
+    begins = (F.col("part") > 0) & (F.get(firsts, F.col("part") - 1) == F.col("k"))
+    halo = F.when(begins, F.array(F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("role")))).otherwise(F.array().cast("array<struct<part:int,role:int>>"))
     top = len(bounds)
     if first is None:
         return rows.select("doc_id", "text", F.lit("").alias("next_text"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, materialize, partitions
 
 CACHE = 1 << 19
-_ODD = re.compile(r"\s \s")
+_ODD = re.compile(r"\s \s|\s \Z")
 
 
 def _ranks(path: str):
@@ -46,7 +46,7 @@ def _ranks(path: str):
 class _Encoder(dict):
     """Bytes of the token ids of each chunk seen. A chunk is a word with the space before it: the pre-tokeniser never
     joins what comes before such a space with it, so ids of a text are those of its chunks, in order, as long as no
-    space stands between two white spaces. The cache is emptied when it holds ``CACHE`` chunks. Texts with one of the
+    space stands between two white spaces or, after one, at the end. The cache is emptied when it holds ``CACHE`` chunks. Texts with one of the
     file's special tokens and all texts of other kinds of tokenizer go to the tokenizer as they are."""
 
     def __init__(self, path: str):

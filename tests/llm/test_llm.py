@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -141,7 +142,7 @@ def test_packing(spark):
 
     path = queries.tokenizer_path()
     model = Tokenizer.from_file(path)
-    texts = [*ODD, "long text here " * 900, "it's 12 o'clock\n\n  yes \n \n no\t\tx", *(r["text"] for r in table(spark, "documents").limit(60).collect())]
+    texts = [*ODD, "long text here " * 900, "it's 12 o'clock\n\n  yes \n \n no\t\tx", "two at the end  ", "line and space\n ", "one ", "  ", " \n", "tab\t ", "w " * 300_000, *(r["text"] for r in table(spark, "documents").limit(60).collect())]
     rows = packing.pack(documents(spark, texts), path).collect()
     for i, t in enumerate(texts):
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -212,6 +213,8 @@ def test_fingerprints(spark):
         half = len(t) // 2
         edited = t[: len(t) - half] + plain[(i + 1) % len(plain)][:half]
         assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        canon = lambda x: " ".join(unicodedata.normalize("NFKC", x).upper().lower().split())
+        assert (rows[i]["near_edited"], rows[i]["near_next"]) == (float(canon(t) == canon(edited)), float(canon(t) == canon(plain[(i + 1) % len(plain)])))
         same = [j for j in rows if rows[j]["fingerprint"] == rows[i]["fingerprint"]]
         assert rows[i]["group_id"] == min(same) and rows[i]["copies"] == len(same)
         assert all(rows[j]["fingerprint"] == rows[i]["fingerprint"] for j in range(len(plain)) if plain[j] == t)
@@ -343,6 +346,56 @@ def test_quality(spark):
     assert quality.classify(documents(spark, ODD), labels.limit(0)).count() == len(ODD)
 
 
+def test_quality_against_plain_numpy(spark):
+    """Cosines, ridge scores of two folds and pooled violators, computed anew from the statistics."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    rows = quality.features(docs).join(labels, "doc_id", "left").select("doc_id", "x", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")).collect()
+    known = [r for r in rows if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    x, y, fold = np.array([r["x"] for r in known]), np.array([float(r["quality"]) for r in known]), np.array([r["fold"] for r in known])
+    mean, scale, rng = x.mean(0), np.maximum(x.std(0), 1e-6), np.random.default_rng(7)
+    turn, shift = rng.normal(size=(x.shape[1], 384)) / np.sqrt(2 * x.shape[1]), rng.uniform(0, 2 * np.pi, 384)
+    wave = lambda v: np.hstack([np.cos((v - mean) / scale @ turn + shift) * np.sqrt(2 / 384), np.ones((len(v), 1))])
+    z = wave(x)
+    ridge = lambda keep, n: np.linalg.solve(z[keep].T @ z[keep] + 1e-3 * np.sqrt(n) * np.eye(385), z[keep].T @ y[keep])
+    whole, folds = ridge(fold >= 0, len(y)), [ridge(fold == k, len(y) / 2) for k in (0, 1)]
+    raw = np.where(fold == 0, z @ folds[1], z @ folds[0])
+    place = np.clip(np.floor((raw + 0.5) * 250), 0, 499).astype(int)
+    pools = [[raw[place == b].mean(), y[place == b].mean(), (place == b).sum()] for b in np.unique(place)]
+    k = 0
+    while k + 1 < len(pools):
+        a, b = pools[k], pools[k + 1]
+        if a[1] >= b[1]:
+            pools[k : k + 2] = [[(a[j] * a[2] + b[j] * b[2]) / (a[2] + b[2]) for j in (0, 1)] + [a[2] + b[2]]]
+            k = max(k - 1, 0)
+        else:
+            k += 1
+    want = np.clip(np.interp(wave(np.array([r["x"] for r in rows])) @ whole, [p[0] for p in pools], [p[1] for p in pools]), 0, 1)
+    assert np.abs(want - [got[r["doc_id"]] for r in rows]).max() < 1e-5
+
+
+def test_odd_rows_and_empty_tables_of_quality_and_archives(spark):
+    labels = table(spark, "labels")
+    odd = spark.createDataFrame([(None, "null id"), (1, "a b c"), (1, "a b c"), (1, "other text"), (2, None)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("x", "y", "fold", "score", "bin")})
+    assert quality.classify(odd, labels).count() == 5 and quality.classify(odd.limit(0), labels).count() == 0
+    assert quality.accepted(odd, labels.limit(0)).count() == 0
+    page = "<p>" + "long " * 400_000
+    pages = spark.createDataFrame([(1, "http://a.b/x", page), (1, "http://a.b/x", page), (2, None, None), (None, "http://a.b/x", page), (3, "http://a.b/y", "")], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "size", "kind", "head", "n", "tie", "archive", "at", "length")})
+    rows = warc.round_trip(pages).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in rows) == [(0, "revisit", 1, len(page)), (1, "response", 0, len(page)), (1, "response", 0, len(page)), (2, "response", 0, 0), (3, "response", 0, 0)]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    docs, names = table(spark, "documents"), [f"s{i}" for i in range(5)]
+    sharding.write_shards(docs, "doc_id", names, str(tmp_path / "shards"), 101)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    want = {(r["doc_id"], r["shard"]) for r in sharding.place(docs, "doc_id", names, 101).collect()}
+    assert {(r["doc_id"], r["shard"]) for r in back.collect()} == want and back.count() == docs.count()
+    assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] for r in docs.collect())
+
+
 def test_sharding(spark):
     names = [f"s{i}" for i in range(7)]
     table_ = sharding.fill(names, 1009)

@@ -389,8 +389,9 @@ def test_odd_rows_and_empty_tables_of_quality_and_archives(spark):
 
 def test_written_shards_hold_every_row(spark, tmp_path):
     docs, names = table(spark, "documents"), [f"s{i}" for i in range(5)]
-    sharding.write_shards(docs, "doc_id", names, str(tmp_path / "shards"), 101)
-    back = spark.read.parquet(str(tmp_path / "shards"))
+    back = sharding.write_shards(docs, "doc_id", names, str(tmp_path / "shards"), 101)
+    empty = sharding.write_shards(docs.limit(0).withColumn("shard", F.lit("x")), "doc_id", names, str(tmp_path / "empty"), 101)
+    assert empty.count() == 0 and empty.schema["shard"].dataType == back.schema["shard"].dataType
     want = {(r["doc_id"], r["shard"]) for r in sharding.place(docs, "doc_id", names, 101).collect()}
     assert {(r["doc_id"], r["shard"]) for r in back.collect()} == want and back.count() == docs.count()
     assert sorted(r["text"] for r in back.collect()) == sorted(r["text"] for r in docs.collect())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, mixing, near_duplicates, packing, quality, sharding, substrings, vectors, warc, webtext
-from .common import table
+from .common import scratch, shuffles_removed, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -58,7 +58,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
+    """Whole documents written to their shards, then where each is found."""
+    with shuffles_removed(spark):
+        written = sharding.write_shards(table(spark, sf_dir, "documents"), "doc_id", SHARDS, scratch(spark, "shards"))
+    return written.select("doc_id", "slot", "shard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -49,8 +49,12 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
     return keyed.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot")
 
 
-def write_shards(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS) -> None:
-    """Parquet files of ``df`` below ``path``/shard=N. Each shard's rows are dealt to several tasks by key, so that no
-    shard is one task's work."""
+def write_shards(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS, spread: int = 16) -> DataFrame:
+    """Parquet files of ``df`` with its slot below ``path``/shard=N, and these files read again. Each shard's rows are
+    dealt to ``spread`` tasks by a hash of all their columns (but maps, which have none), so that neither a shard nor the
+    rows of one key are one task's work. Rows may repeat; null keys go where :func:`place` puts them; of an empty table
+    there is an empty file. Only DataFrame functions are used."""
     placed = place(df, key, shards, slots)
-    placed.repartition(F.col("shard"), F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy("shard").parquet(path)
+    deal = F.pmod(F.xxhash64(*(c for c, kind in placed.dtypes if "map<" not in kind and "variant" not in kind)), F.lit(spread))
+    placed.repartition(F.col("shard"), deal).write.partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)

@@ -225,6 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, id_col
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     base = materialize(groups.withColumn("base", before).drop("n"), "ranks")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = cut.withColumn("k", F.row_number().over(order) - 1).join(base, ["length", "salt"])
+    # ranks grow with the cluster and are dealt like the pieces, so they aren't broadcast, whatever their size here
+    ranked = cut.withColumn("k", F.row_number().over(order) - 1).join(base.hint("merge"), ["length", "salt"])
     ranked = ranked.withColumn("rank", (F.col("k") + F.col("base")).cast("long")).drop("k", "base", "salt")
     return in_arrow(ranked, _place(slots(plan(counts), size)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

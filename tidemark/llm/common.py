@@ -81,15 +81,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*frames: DataFrame) -> None:
-    """Remove the folders of materialized tables that no later step reads."""
-    for frame in frames:
-        for path in list(_written):
-            if any(path.rpartition("/")[2] in f for f in frame.inputFiles()[:1]):
-                remove(frame.sparkSession, path)
-                _written.remove(path)
-
-
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``materialize`` what ``make`` returns, then remove the folders that ``make`` wrote on the way: the result's files
     need none of them. Nothing else that ``make`` returned or kept may be used afterwards."""

@@ -166,7 +166,3 @@ def shingle_sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return row[new], h[new]
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)

@@ -248,6 +248,25 @@ def test_vectors(spark, monkeypatch, most, block):
     assert vectors.near_vectors(odd.limit(0)).count() == 0
 
 
+def test_vectors_of_any_number(spark, monkeypatch):
+    """No limit on pivots changes what is found, and links don't get lost as a table grows: one way for all sizes."""
+    monkeypatch.setattr(vectors, "PER_PIVOT", 4)
+    rng = np.random.default_rng(5)
+    groups = rng.normal(size=(1500, 1, 64)) + 0.27 * rng.normal(size=(1500, 4, 64))
+    m = groups.reshape(-1, 64).astype(np.float32).astype(float)
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert want.sum() > 15000
+    table = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<float>").cache()
+    found = []
+    for most in (1024, 4096):
+        monkeypatch.setattr(vectors, "MOST_PIVOTS", most)
+        found.append(sorted(tuple(r) for r in vectors.near_vectors(table).collect()))
+    assert found[0] == found[1]
+    got = np.array([n for _, n, _, _ in found[0]])
+    assert (got <= want).all() and got.sum() >= 0.998 * want.sum()
+
+
 PAGE = """<html><head><title>t</title></head><body><header>Top</header><nav><a>x</a></nav><div class="cookie-notice">ok</div>
 <article><h1>T &amp; U</h1><p>one <b>two</b>
  three<p>four<br>five<form>no</form><div id="comments">reader</div></article><aside>s</aside><footer>f</footer></body></html>"""

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from .common import in_arrow, materialize, ship
 from .components import connected_components
 
-NEAREST, SHARED, BLOCK, MOST_PIVOTS, PER_PIVOT = 10, 2, 4096, 4096, 100
-CELLS, HOMES, CROWD = 8, 2, 8192
+NEAREST, SHARED, BLOCK, MOST_PIVOTS, PER_PIVOT = 10, 1, 4096, 4096, 100
+CELLS, HOMES, CROWD = 8, 8, 8192
 
 
 def pivot_count(n: int) -> int:
-    """Pivots for n different vectors: the power of two that leaves about ``PER_PIVOT`` for each, 64 at least."""
-    return max(64, 1 << (max(n, 1) // PER_PIVOT).bit_length())
+    """Pivots for n different vectors: one for each ``PER_PIVOT``, 64 at least."""
+    return max(64, n // PER_PIVOT)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
     big = np.abs(x).max(axis=1, keepdims=True)
     x = x / np.where(big > 0, big, 1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -36,7 +37,8 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _ranked(near: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest of each row, the largest first."""
+    """Places of the k largest of each row, the largest first; of values equal but for rounding, the earlier place."""
+    near = np.round(near, 9) - np.arange(near.shape[1]) * 1e-14
     top = np.argpartition(-near, k - 1, axis=1)[:, :k]
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
 
@@ -59,13 +61,17 @@ def _in_cell(nearest: int):
     """For the vectors of a part of a cell: the nearest of the cell's pivots, with their cosines."""
 
     def run(rows: pa.Table, pivots: pa.Table) -> pa.Table:
-        rows, pivots = rows.combine_chunks(), pivots.combine_chunks()
+        rows, pivots = rows.combine_chunks(), pivots.combine_chunks().sort_by([("rep", "descending")])
         if not rows.num_rows or not pivots.num_rows:
             return pa.table({"rep": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.float64())), "names": pa.array([], pa.list_(pa.int64()))})
         names, unit = pivots.column("rep").to_numpy(), _unit(_matrix(pivots.column("v").combine_chunks()))
-        near = _unit(_matrix(rows.column("v").combine_chunks())) @ unit.T
-        order = _ranked(near, min(nearest, len(names)))
-        return pa.table({"rep": rows.column("rep"), "near": _lists(np.round(np.take_along_axis(near, order, 1), 12), pa.float64()), "names": _lists(names[order], pa.int64())})
+        x, step, found = _unit(_matrix(rows.column("v").combine_chunks())), max(1, (1 << 21) // len(names)), []
+        for at in range(0, len(x), step):
+            near = x[at : at + step] @ unit.T
+            order = _ranked(near, min(nearest, len(names)))
+            found.append((np.round(np.take_along_axis(near, order, 1), 9), names[order]))
+        near, order = (np.concatenate(f) for f in zip(*found, strict=True))
+        return pa.table({"rep": rows.column("rep"), "near": _lists(near, pa.float64()), "names": _lists(order, pa.int64())})
 
     return run
 
@@ -117,24 +123,21 @@ def _compare(threshold: float, shared: int):
 
 
 def _pivots_of(classes: DataFrame, nearest: int) -> tuple[DataFrame, int]:
-    """rep, copies, v and pivots (names of the nearest ones in order) of classes with as many numbers each;
-    and how many pivots there are."""
+    """rep, copies, v and pivots (names of the nearest ones in order, the first again where there are fewer) of classes
+    with as many numbers each; and how many cells there are. Tables of all sizes go the same way."""
     count = classes.count()
     wanted = pivot_count(count)
-    by_hash = (F.xxhash64("rep"), "rep")
-    if wanted <= MOST_PIVOTS:
-        chosen = classes.orderBy(*by_hash).limit(wanted).collect()
-        names, pivots = np.array([r["rep"] for r in chosen], np.int64), np.array([r["v"] for r in chosen], float)
-        return in_arrow(classes, _described(names, pivots, nearest), "rep long, copies long, v array<double>, pivots array<long>"), len(chosen)
-    # two levels: cells around few pivots hold all others; a vector is held against those of its nearest cells
-    chosen = classes.orderBy(*by_hash).limit(min(MOST_PIVOTS, 2 * int(wanted**0.5))).collect()
+    # cells around few pivots hold all pivots; a vector is held against those of its nearest cells
+    ranked = classes.withColumn("rank", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+    chosen = ranked.orderBy("rank", "rep").limit(min(MOST_PIVOTS, 2 * int(wanted**0.5))).collect()
     names, coarse = np.array([r["rep"] for r in chosen], np.int64), np.array([r["v"] for r in chosen], float)
     near = lambda k: _described(names, coarse, k)
-    types = "rep long, copies long, v array<double>, pivots array<long>"
-    share = F.pmod(F.xxhash64(F.lit("pivot"), "rep"), F.lit(1 << 40)) < int((1 << 40) * wanted / count)
-    homes = in_arrow(classes.where(share), near(HOMES), types).select("rep", "v", F.explode("pivots").alias("cell"))
+    types = f"rep long, copies long, v {classes.schema['v'].dataType.simpleString()}, pivots array<long>"
+    last = max(chosen[-1]["rank"], (1 << 40) * wanted // count)  # a cell's own pivot is one of all
+    homes = in_arrow(ranked.where(F.col("rank") <= last).drop("rank"), near(HOMES), types).select("rep", "v", F.explode("pivots").alias("cell"))
     homes = materialize(homes, "vector-cells")
-    visits = materialize(in_arrow(classes, near(CELLS), types).select("rep", "v", F.explode("pivots").alias("cell")), "vector-visits")
+    near_cells = materialize(in_arrow(classes, near(CELLS), types), "vector-visits")
+    visits = near_cells.select("rep", "v", F.explode("pivots").alias("cell"))
     parts = materialize(visits.groupBy("cell").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")), "cell-sizes")
     visits = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     many = parts.select(F.col("cell").alias("home"), F.col("parts").alias("many"))
@@ -143,9 +146,8 @@ def _pivots_of(classes: DataFrame, nearest: int) -> tuple[DataFrame, int]:
     found = visits.select("cell", "part", "rep", "v").groupBy("cell", "part").cogroup(homes.select("home", "piece", "rep", "v").groupBy("home", "piece")).applyInArrow(_in_cell(nearest), "rep long, near array<double>, names array<long>")
     best = found.groupBy("rep").agg(F.flatten(F.collect_list(F.arrays_zip("near", "names"))).alias("all"))  # of CELLS cells
     best = best.select("rep", F.transform(F.slice(F.sort_array(F.array_distinct("all"), asc=False), 1, nearest), lambda p: p["names"]).alias("pivots"))
-    best = best.where(F.size("pivots") == nearest)
-    rest = classes.join(best.select("rep"), "rep", "left_anti")
-    return classes.join(materialize(best, "vector-pivots"), "rep").select("rep", "copies", "v", "pivots").unionByName(in_arrow(rest, near(nearest), types)), wanted
+    best = best.withColumn("pivots", F.concat("pivots", F.array_repeat(F.element_at("pivots", 1), F.lit(nearest) - F.size("pivots"))))
+    return classes.join(materialize(best, "vector-pivots"), "rep").select("rep", "copies", "v", "pivots"), len(chosen)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
@@ -153,10 +155,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Equal vectors form a class that is compared once and counts with its copies. Reference vectors (pivots) are a
     sample of :func:`pivot_count` classes, chosen by hash; each class is described by its ``nearest`` pivots in order and
-    enters their inverted lists. Pivots are as many as the classes ask for, so lists stay as long as they are; more than
-    ``MOST_PIVOTS`` lie in cells around a few of them, and a class is held against those of its ``CELLS`` nearest cells
-    (recall 0.97 on 600,000 vectors in groups of four at cosines around 0.93, 0.998 on 200,000 without cells). Within a
-    list, classes that share at least ``shared`` pivots are verified by cosine in double precision. A list of more than
+    enters their inverted lists. Pivots are as many as the classes ask for, so lists stay as long as they are. Whatever
+    the table's size, each pivot lies in the ``HOMES`` nearest of the cells around a few of them (``MOST_PIVOTS`` at
+    most), and a class is held against the pivots of its ``CELLS`` nearest cells. Within a list, classes that share at
+    least ``shared`` pivots are verified by cosine in double precision. A list of more than
     ``BLOCK`` rows, which only a crowd of similar vectors fills, is cut into blocks that meet in pairs, as each of the
     crowd's links counts; no pair of vectors is ever emitted, only link sums and the edges of a spanning forest for each
     pair of blocks.
@@ -164,21 +166,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of
     different lengths with each other. Rows with equal ids are vectors of their own in n_links and share a component if
     linked. A null id is kept with null component_id and links with nothing. An empty table gives an empty one."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()  # floats travel as they are and are widened to compare
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & (F.size("v") > 0) & finite, F.lit(False)))
     classes = materialize(rows.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
     parts = []
     for (dims,) in classes.select(F.size("v")).distinct().collect():  # one for each length of vectors in the table
-        described, pivots = _pivots_of(classes.where(F.size("v") == dims), nearest)
+        described, cells = _pivots_of(classes.where(F.size("v") == dims), nearest)
         told = materialize(described, "described")
-        lists = told.select("*", F.explode("pivots").alias("pivot"))
+        lists = told.select("*", F.explode(F.array_distinct("pivots")).alias("pivot"))
         size = lists.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         long = materialize(size.where("blocks > 1"), "long-lists")
         lists = lists.join(long, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
         ship(lists.sparkSession)
-        parts.append(lists.groupBy("pivot", "one", "two").applyInArrow(_compare(threshold, min(shared, nearest, pivots)), "a long, b long, links long"))
+        parts.append(lists.groupBy("pivot", "one", "two").applyInArrow(_compare(threshold, min(shared, nearest, cells)), "a long, b long, links long"))
     if not parts:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]

@@ -35,6 +35,29 @@ def test_nearest_ties(spark):
     assert nearest.nearest(p, 6, True).first()["value"] == 3
 
 
+@pytest.mark.parametrize("backward", [True, False])
+def test_nearest_join_brute_force(spark, backward):
+    """Ties, empty buckets between, and nulls, which match nothing."""
+    rows = [(u, t // 3 * 3 + (t // 40 << 5), t) for u in ("a", "b", None) for t in range(120)] + [("a", None, 1), ("b", None, 2), ("c", None, 3)]
+    probes = [(u, t, i) for i, (u, t) in enumerate((u, t) for u in ("a", "b", "c", None) for t in (None, *range(-5, 230)))]
+    found = nearest.nearest_join(spark.createDataFrame(probes, "uuid string, probe_time long, id int"), points(spark, rows), backward, pw=3)
+    held = [(t, i, float(v), u) for i, (u, t, v) in enumerate(rows) if u is not None and t is not None]
+    want = []
+    for u, t, i in probes:
+        near = [] if t is None else [p for p in held if p[3] == u and (p[0] < t if backward else p[0] >= t)]
+        p = (max(near) if backward else min(near)) if near else (None, None, None)
+        want.append((i, u, t, p[0], p[2]))
+    assert sorted((r["id"], r["uuid"], r["probe_time"], r["point_time"], r["point_value"]) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("backward", [True, False])
+def test_nearest_join_is_linear(spark, backward):
+    """No frame reaches the end of its partition: Spark would read the rest of the bucket, or of the stream, for each row."""
+    probes = spark.createDataFrame([("a", 1, 1)], "uuid string, probe_time long, id int")
+    plan = nearest.nearest_join(probes, points(spark, [("a", 1, 1)]), backward)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("specifiedwindowframe(rowframe, unboundedpreceding") == 2 and "unboundedfollowing" not in plan
+
+
 def test_aligned_counts(spark, dense):
     for pw in (0, 3, 11, 12, 60):
         found = windows.aligned_windows(dense, MIN_TIME, MAX_TIME, pw).collect()
